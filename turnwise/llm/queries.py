@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm.language import LanguageFilters, identify_languages, language_filters
+from turnwise.llm.turns import speaker_turns
 from turnwise.session import table
 
 _LABELLED = {"transcript_chunks": ("chunk_id", "detected_language"), "documents": ("doc_id", "lang")}
@@ -32,6 +33,19 @@ def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir, False).distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_segments": p3_segments}
+def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speaker_turns(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "transcript_chunks"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_turns(spark, sf_dir).select("audio_source_id", "speaker_no", "start_ms", "end_ms").distinct()
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_segments": p3_segments,
+    "p6_found": p6_found,
+    "p6_turns": p6_turns,
+}
 
 SQL: dict[str, str] = {}
