@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm.language import LanguageFilters, identify_languages, language_filters
+from turnwise.llm.ranking import best_of, combined_ranking
 from turnwise.llm.turns import speaker_turns
 from turnwise.session import table
 
@@ -33,6 +34,16 @@ def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir, False).distinct()
 
 
+def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates = table(spark, sf_dir, "qa_candidates").select("audio_source_id", "qa_candidate_id", "similarity_score", "retrieval_score").dropDuplicates(["qa_candidate_id"])
+    scores = table(spark, sf_dir, "responsiveness_scores").select("qa_candidate_id", "score").dropDuplicates(["qa_candidate_id"])
+    return combined_ranking(candidates.join(scores, "qa_candidate_id", "left"), "audio_source_id", "qa_candidate_id", {"score": 1, "retrieval_score": 1, "similarity_score": -1})
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_of(p1_ranking(spark, sf_dir), "audio_source_id", "qa_candidate_id", 3).select("audio_source_id", "qa_candidate_id")
+
+
 def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speaker_turns(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "transcript_chunks"))
 
@@ -42,6 +53,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_ranking": p1_ranking,
     "p3_found": p3_found,
     "p3_segments": p3_segments,
     "p6_found": p6_found,
