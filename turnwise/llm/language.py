@@ -308,6 +308,7 @@ class Identifier:
                 tie[:, i] = np.bincount(dk[on], fine[on], minlength=n)
         seen = np.bincount(dk, wk, minlength=n) if len(mk) else np.zeros(n)
         hits = np.maximum(0, (hits - seen[:, None] * self.filters.false) / (1 - self.filters.false))
+        self.hits = hits
         score = hits + 0.01 * tie
         low = np.flatnonzero((words > 0) & (seen < 0.3 * words))
         for d in low:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm.language import LanguageFilters, identify_languages, language_filters
+from turnwise.llm.pairs import defective_pairs
 from turnwise.llm.ranking import best_of, combined_ranking
 from turnwise.llm.turns import speaker_turns
 from turnwise.session import table
@@ -44,6 +45,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_of(p1_ranking(spark, sf_dir), "audio_source_id", "qa_candidate_id", 3).select("audio_source_id", "qa_candidate_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = defective_pairs(table(spark, sf_dir, "qa_candidates"), "qa_candidate_id", "question_text", "answer_text", _filters(spark, sf_dir))
+    return found.withColumnRenamed("pair_id", "qa_candidate_id")
+
+
 def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speaker_turns(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "transcript_chunks"))
 
@@ -57,6 +63,7 @@ QUERIES = {
     "p1_ranking": p1_ranking,
     "p3_found": p3_found,
     "p3_segments": p3_segments,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_turns": p6_turns,
 }
