@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnwise.llm.language import LanguageFilters, identify_languages, language_filters
 from turnwise.llm.pairs import defective_pairs
 from turnwise.llm.ranking import best_of, combined_ranking
+from turnwise.llm.sentences import split_sentences
 from turnwise.llm.turns import speaker_turns
 from turnwise.session import table
 
@@ -45,6 +46,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_of(p1_ranking(spark, sf_dir), "audio_source_id", "qa_candidate_id", 3).select("audio_source_id", "qa_candidate_id")
 
 
+def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "rendered_groups"), "group_id", "text")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_sentences(spark, sf_dir).select("group_id", "start_offset", "end_offset").distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = defective_pairs(table(spark, sf_dir, "qa_candidates"), "qa_candidate_id", "question_text", "answer_text", _filters(spark, sf_dir))
     return found.withColumnRenamed("pair_id", "qa_candidate_id")
@@ -61,6 +70,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_ranking": p1_ranking,
+    "p2_found": p2_found,
+    "p2_sentences": p2_sentences,
     "p3_found": p3_found,
     "p3_segments": p3_segments,
     "p5_found": p5_found,
