@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnwise.llm.chunking import split_oversized
 from turnwise.llm.language import LanguageFilters, identify_languages, language_filters
+from turnwise.llm.lexicon import label_lang
+from turnwise.llm.mixing import mix_sources
+from turnwise.llm.packing import pack_items
 from turnwise.llm.pairs import defective_pairs
 from turnwise.llm.ranking import best_of, combined_ranking
 from turnwise.llm.sentences import split_sentences
 from turnwise.llm.turns import speaker_turns
+from turnwise.llm.tokens import token_count
 from turnwise.session import table
 
 _LABELLED = {"transcript_chunks": ("chunk_id", "detected_language"), "documents": ("doc_id", "lang")}
@@ -67,6 +73,57 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_turns(spark, sf_dir).select("audio_source_id", "speaker_no", "start_ms", "end_ms").distinct()
 
 
+def _limit(spark: SparkSession, sf_dir: str, purpose: str) -> tuple[int, int]:
+    row = table(spark, sf_dir, "token_limits").filter(F.col("purpose") == purpose).select("max_tokens", "overlap_tokens").first()
+    return row[0], row[1]
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", token_count(F.col("text")).alias("tokens"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_items(_sized(spark, sf_dir), "doc_id", "tokens", _limit(spark, sf_dir, "pack")[0])
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, against the fewest that could hold all tokens."""
+    capacity = _limit(spark, sf_dir, "pack")[0]
+    bins = p8_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("size").alias("filled"), F.count(F.lit(1)).alias("items"))
+    return bins.agg(
+        F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("filled") / capacity).alias("least"), (F.sum("filled") / F.count(F.lit(1)) / capacity).alias("fill"), F.max("filled").alias("fullest")
+    )
+
+
+def _language_of(label: Column) -> Column:
+    @F.pandas_udf("string")
+    def resolved(labels: pd.Series) -> pd.Series:
+        return labels.map({x: label_lang(x) for x in labels.unique()})
+
+    return resolved(label)
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = _sized(spark, sf_dir).withColumn("language", _language_of(F.col("lang")))
+    return mix_sources(sized, "doc_id", "tokens", "source", "language", table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text", *_limit(spark, sf_dir, "split"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_pieces(spark, sf_dir).filter("piece_no = 1").select("doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_ranking": p1_ranking,
@@ -77,6 +134,12 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_turns": p6_turns,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_pieces": p10_pieces,
 }
 
 SQL: dict[str, str] = {}
