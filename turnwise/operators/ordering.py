@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnwise.operators.joins import keyed_join
+
 MANTISSA = 4096
 
 
@@ -66,3 +68,84 @@ def paired_boundaries(
     a = grouped_running(starts, keys, start_order, name="_pair_rank")
     b = grouped_running(ends, keys, end_order, name="_pair_rank")
     return a.join(b, [*keys, "_pair_rank"]).drop("_pair_rank")
+
+
+def windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, tuple[str, Column]], bucket: Column | None = None, mantissa: int = MANTISSA) -> DataFrame:
+    """Window columns over groups of any size; `cols` maps names to (kind, column).
+
+    Kinds: `sum` and `max` up to the row itself, `sum_before` and `max_before` without it, `last_before` the last
+    value that is not null before it, `lag` and `lead` the neighbours' values. As in `grouped_running`, rows are
+    ordered inside value buckets, and one small row per bucket carries the group's state from bucket to bucket. Nulls
+    of `order[0]` need a `bucket`. Ties of all `order` columns are broken arbitrarily.
+    """
+    cut = df.withColumn("_win_bucket", value_bucket(F.col(order[0]), mantissa) if bucket is None else bucket)
+    wrap = {"lag", "lead", "last_before"}
+    for name, (kind, col) in cols.items():
+        value = F.struct(col.alias("v"))
+        cut = cut.withColumn(f"_win_{name}", F.when(col.isNotNull(), value) if kind == "last_before" else value if kind in wrap else col)
+    place = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    summary = []
+    for name, (kind, _) in cols.items():
+        c = F.col(f"_win_{name}")
+        if kind.startswith("sum"):
+            summary.append(F.sum(c).alias(f"_sum_{name}"))
+        elif kind.startswith("max"):
+            summary.append(F.max(c).alias(f"_sum_{name}"))
+        elif kind == "lead":
+            summary.append(F.min_by(c, place).alias(f"_sum_{name}"))
+        else:
+            summary.append(F.max_by(c, F.when(c.isNotNull(), place)).alias(f"_sum_{name}"))
+    names = [f"_key_{i}" for i in range(len(keys))]
+    small = cut.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_win_bucket").alias("_b")).agg(*summary)
+    past = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    coming = Window.partitionBy(*names).orderBy("_b")
+    for name, (kind, _) in cols.items():
+        c = F.col(f"_sum_{name}")
+        carried = F.sum(c).over(past) if kind.startswith("sum") else F.max(c).over(past) if kind.startswith("max") else F.lead(c).over(coming) if kind == "lead" else F.last(c, ignorenulls=True).over(past)
+        small = small.withColumn(f"_carry_{name}", carried)
+    same = F.col("_win_bucket").eqNullSafe(F.col("_b"))
+    for k, n in zip(keys, names):
+        same = same & cut[k].eqNullSafe(F.col(n))
+    inside = Window.partitionBy(*keys, "_win_bucket").orderBy(*order)
+    upto, before = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(small.drop(*[f"_sum_{n}" for n in cols]), same)
+    for name, (kind, _) in cols.items():
+        c, carry = F.col(f"_win_{name}"), F.col(f"_carry_{name}")
+        if kind.startswith("sum"):
+            own = F.sum(c).over(before if kind == "sum_before" else upto)
+            made = F.coalesce(carry, F.lit(0)) + F.coalesce(own, F.lit(0))
+        elif kind.startswith("max"):
+            made = F.greatest(carry, F.max(c).over(before if kind == "max_before" else upto))
+        elif kind == "lead":
+            made = F.coalesce(F.lead(c).over(inside), carry)["v"]
+        elif kind == "lag":
+            made = F.coalesce(F.lag(c).over(inside), carry)["v"]
+        else:
+            made = F.coalesce(F.last(c, ignorenulls=True).over(before), carry)["v"]
+        out = out.withColumn(name, made)
+    gone = ["_win_bucket", "_b", *names, *[f"_win_{n}" for n in cols], *[f"_carry_{n}" for n in cols]]
+    return out.drop(*gone)
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
+    """(keys, n, <point>...): exact percentiles with linear interpolation, without holding a group in one task.
+
+    Null and NaN values are left out; a group of only such values has no row. An empty input gives no rows.
+    """
+    v = F.col(value).cast("double")
+    known = df.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"))
+    grouped = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = grouped_running(grouped, keys, ["_v"], F.col("_c"), name="_upto")
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    both = keyed_join(ranked, sizes if keys else F.broadcast(sizes), keys)  # without keys there is one row
+    picks = []
+    for name, p in points.items():
+        at = F.lit(p) * (F.col("n") - 1) + 1
+        for part, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            held = (F.col("_upto") >= place) & (F.col("_upto") - F.col("_c") < place)
+            picks.append(F.max(F.when(held, F.col("_v"))).alias(f"_{name}_{part}"))
+    wide = both.groupBy(*keys, "n").agg(*picks)
+    for name, p in points.items():
+        at = F.lit(p) * (F.col("n") - 1) + 1
+        wide = wide.withColumn(name, F.col(f"_{name}_lo") + (at - F.floor(at)) * (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")))
+    return wide.select(*keys, "n", *points)
