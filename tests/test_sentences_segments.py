@@ -66,7 +66,7 @@ def said(text, start, end, speaker="A", uncertain=False):
 def test_refinement():
     us = [said("The curve", 0, 1), said("changes the shape of the waves.", 1, 3), said("And", 3.1, 3.4), said("the pressure is low today.", 3.5, 5), said("Yes.", 5.2, 5.5, "B")]
     spans = se.refined_sentences(us)
-    assert spans[0] == (0, 2) and spans[-1][1] == 5 and [b for _, b in spans[:-1]] == [a for a, _ in spans[1:]]
+    assert spans[0] == (0, 4) and spans[-1][1] == 5 and [b for _, b in spans[:-1]] == [a for a, _ in spans[1:]]
     long = [said(f"word {i} goes on and on again, with more words here.", i * 4.0, i * 4.0 + 3) for i in range(6)]
     assert all(b - a < 6 for a, b in se.refined_sentences(long)) and se.refined_sentences([said("hm", 0, 1)]) == [(0, 1)]
 
