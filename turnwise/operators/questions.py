@@ -38,40 +38,47 @@ def question_scores(df: DataFrame, text: str) -> DataFrame:
     t = F.trim(F.col(text))
     out = df.withColumn("rule", lx.rule_text(t)).withColumn("question_tokens", F.size(lx.rule_tokens(F.col("rule"))))
     rule, tokens = F.col("rule"), F.col("question_tokens")
-    mark = t.contains("?")
+    # every step is a column of its own, so that later ones name it instead of repeating its expression
     bare = F.trim(F.regexp_replace(F.regexp_replace(rule, r"^(?:(?:allora|cioe|e|ma|ok)[,;:]* ){0,2}", ""), r"[ ?.!]+$", ""))
-    first = F.regexp_extract(bare, r"^([a-z0-9_']+)", 1)
-    stem = F.regexp_extract(bare, r"^([a-z0-9_]+)", 1)
-    opens = F.regexp_extract(rule, r"^([a-z0-9_']+)", 1).isin(*lx.INTERROGATIVES) | F.regexp_extract(rule, r"^([a-z0-9_]+)", 1).isin(*lx.INTERROGATIVES)
-    head = first.isin(*lx.INTERROGATIVES) | stem.isin(*lx.INTERROGATIVES, *AUXILIARIES) | first.isin(*AUXILIARIES)
-    cues, didactic = lx.cue_weight(rule, lx.QUESTION_CUES, 0.36), lx.cue_weight(rule, lx.DIDACTIC_CUES, 0.30)
-    check, poll = rule.rlike(CHECK_IN), rule.rlike(POLL)
-    tag = mark & (cues == 0) & (didactic == 0) & rule.rlike(TAG) & (tokens > 3)
-    fragment = mark & (cues == 0) & (didactic == 0) & (tokens <= 2) & ~check
-    cue_at = F.array_min(F.filter(F.transform(lx.rule_tokens(bare), lambda w, i: F.when(w.isin(*lx.INTERROGATIVES, *AUXILIARIES), i)), lambda i: i.isNotNull()))
+    start = lambda c: F.regexp_extract(c, r"^([a-z0-9_']+)", 1)
+    stem = lambda c: F.regexp_extract(c, r"^([a-z0-9_]+)", 1)
+    heads = [*lx.INTERROGATIVES, *AUXILIARIES]
+    steps = {
+        "_mark": t.contains("?"), "_bare": bare, "_opens": start(rule).isin(*lx.INTERROGATIVES) | stem(rule).isin(*lx.INTERROGATIVES),
+        "_cues": lx.cue_weight(rule, lx.QUESTION_CUES, 0.36), "_didactic": lx.cue_weight(rule, lx.DIDACTIC_CUES, 0.30), "_check": rule.rlike(CHECK_IN), "_poll": rule.rlike(POLL), "_tagged": rule.rlike(TAG),
+        "_declarative": rule.rlike("|".join(f"(?:{p})" for p in lx.DECLARATIVE_WHAT)), "is_contextual": (tokens <= 2) | rule.rlike(ANAPHORIC),
+        "_head": start(F.col("_bare")).isin(*heads) | stem(F.col("_bare")).isin(*heads),
+        "_cue_at": F.array_min(F.filter(F.transform(lx.rule_tokens(F.col("_bare")), lambda w, i: F.when(w.isin(*heads), i)), lambda i: i.isNotNull())),
+    }
+    for name, col in steps.items():
+        out = out.withColumn(name, col)
+    mark, head, opens, cues, didactic, check, poll = (F.col(c) for c in ("_mark", "_head", "_opens", "_cues", "_didactic", "_check", "_poll"))
+    plain = mark & (cues == 0) & (didactic == 0)
+    out = out.withColumn("_tag", plain & F.col("_tagged") & (tokens > 3)).withColumn("_fragment", plain & (tokens <= 2) & ~check)
     intent = (
-        F.when(poll | check, "poll_or_check").when(tag, "rhetorical_tag").when(fragment, "fragment").when((cue_at >= 3) & ~head, "embedded_statement_question")
+        F.when(poll | check, "poll_or_check").when(F.col("_tag"), "rhetorical_tag").when(F.col("_fragment"), "fragment").when((F.col("_cue_at") >= 3) & ~head, "embedded_statement_question")
         .when(mark & ~head & (didactic == 0), "weak_question_form").otherwise("information_seeking")
     )
+    out = out.withColumn("intent", intent)
     delta = F.when(F.col("intent").isin("poll_or_check", "rhetorical_tag"), -0.18).when(F.col("intent") == "fragment", -0.16).when(F.col("intent") == "embedded_statement_question", -0.12)
     delta = delta.when(F.col("intent") == "weak_question_form", -0.10).otherwise(0.0) + F.when((tokens <= 3) & ~head, -0.08).otherwise(0.0)
-    declarative = rule.rlike("|".join(f"(?:{p})" for p in lx.DECLARATIVE_WHAT))
-    rejected = (t == "") | (F.length(t) > MAX_QUESTION) | (~mark & (declarative | ((cues == 0) & (didactic == 0))))
+    rejected = (t == "") | (F.length(t) > MAX_QUESTION) | (~mark & (F.col("_declarative") | ((cues == 0) & (didactic == 0))))
     length = F.when((tokens >= 3) & (tokens <= 24), 0.08).when(tokens < 2, -0.25).otherwise(0.0)
     score = (
         F.when(mark, 0.40).otherwise(0.0) + cues + didactic + F.when(opens, 0.12).otherwise(0.0) + F.when(~mark, 0.10).otherwise(0.0) + length
-        + F.when(check, -0.28).otherwise(0.0) + F.when(poll, -0.42).otherwise(0.0) + F.when(tag, -0.30).otherwise(0.0) + F.when(fragment, -0.22).otherwise(0.0)
+        + F.when(check, -0.28).otherwise(0.0) + F.when(poll, -0.42).otherwise(0.0) + F.when(F.col("_tag"), -0.30).otherwise(0.0) + F.when(F.col("_fragment"), -0.22).otherwise(0.0)
         + F.when(~mark & ~opens, -0.18).otherwise(0.0) + delta
     )
     kind = F.coalesce(lx.cue_label(rule, lx.DIDACTIC_CUES), lx.cue_label(rule, lx.QUESTION_CUES), F.when(mark, "direct_question"), F.lit("generic_question"))
-    out = out.withColumn("intent", intent).withColumn("question_kind", kind).withColumn("question_score", F.when(~rejected, lx.clamp(score)))
-    return out.withColumn("is_contextual", (tokens <= 2) | rule.rlike(ANAPHORIC)).withColumn("question_band", F.when(F.col("question_score") >= CONFIDENCE_HIGH, "high").when(F.col("question_score") >= CONFIDENCE_MEDIUM, "medium").otherwise("low"))
+    out = out.withColumn("question_kind", kind).withColumn("question_score", F.when(~rejected, lx.clamp(score))).drop(*[c for c in (*steps, "_tag", "_fragment") if c != "is_contextual"])
+    return out.withColumn("question_band", F.when(F.col("question_score") >= CONFIDENCE_HIGH, "high").when(F.col("question_score") >= CONFIDENCE_MEDIUM, "medium").otherwise("low"))
 
 
 def alignment_columns(df: DataFrame, question: str, answer: str) -> DataFrame:
     """Adds shared keywords and numbers of question and answer, their overlap ratio and the alignment signal."""
-    q, a = lx.rule_text(F.col(question)), lx.rule_text(F.col(answer))
-    out = df.withColumn("_q", lx.content_tokens(q)).withColumn("_a", lx.content_tokens(a)).withColumn("_an", lx.number_tokens(a)).withColumn("_qn", lx.number_tokens(q))
+    out = df.withColumn("_qr", lx.rule_text(F.col(question))).withColumn("_ar", lx.rule_text(F.col(answer)))
+    q, a = F.col("_qr"), F.col("_ar")
+    out = out.withColumn("_q", lx.content_tokens(q)).withColumn("_a", lx.content_tokens(a)).withColumn("_an", lx.number_tokens(a)).withColumn("_qn", lx.number_tokens(q))
     shared = F.size(F.array_intersect("_q", "_a"))
     quantity = q.rlike(r"\b(?:how many|how much|quanto|quanti|quanta|quante)\b")
     out = out.withColumn("shared_keywords", shared).withColumn("shared_numbers", F.size(F.array_intersect("_qn", "_an"))).withColumn("token_overlap", lx.overlap_ratio(F.col("_q"), F.col("_a")))
@@ -79,7 +86,7 @@ def alignment_columns(df: DataFrame, question: str, answer: str) -> DataFrame:
     why = q.rlike(r"\b(?:why|perche)\b")
     relevance = F.when((F.col("shared_keywords") > 0) | (F.col("shared_numbers") > 0), 0.10).when(quantity, -0.28).when(why, 0.0).otherwise(-0.16)
     signal = lx.clamp(F.lit(0.04) + F.least(F.lit(0.15), 0.05 * F.col("shared_keywords")) + numbers + F.greatest(F.lit(0.0), relevance))
-    return out.withColumn("new_tokens", F.size(F.array_except("_a", "_q"))).withColumn("relevance", relevance).withColumn("alignment", signal).drop("_q", "_a", "_an", "_qn")
+    return out.withColumn("new_tokens", F.size(F.array_except("_a", "_q"))).withColumn("relevance", relevance).withColumn("alignment", signal).drop("_q", "_a", "_an", "_qn", "_qr", "_ar")
 
 
 def answer_scores(df: DataFrame, question: str, answer: str, gap: Column, distance: Column, different_voice: Column, same_voice: Column) -> DataFrame:
@@ -89,26 +96,26 @@ def answer_scores(df: DataFrame, question: str, answer: str, gap: Column, distan
     questions in the answer, a span that breaks off, and the voices.
     """
     out = alignment_columns(df, question, answer)
-    rule = lx.rule_text(F.col(answer))
-    tokens = F.size(lx.rule_tokens(rule))
+    out = out.withColumn("_rule", lx.rule_text(F.col(answer))).withColumn("answer_tokens", F.size(lx.rule_tokens(F.col("_rule")))).withColumn("_cues", lx.cue_weight(F.col("_rule"), lx.ANSWER_CUES, 1.0))
+    tokens, cues = F.col("answer_tokens"), F.col("_cues")
     asks = F.col(answer).contains("?")
     near = F.when(distance <= 0, 0.28).when(distance == 1, 0.20).when(distance == 2, 0.12).otherwise(0.06)
     fresh = F.when(F.col("new_tokens") >= 3, 0.04).when(F.col("new_tokens") <= 1, -0.10).otherwise(0.0)
-    anchored = F.when((F.col("shared_keywords") > 0) | (F.col("shared_numbers") > 0), 0.07).when(lx.cue_weight(rule, lx.ANSWER_CUES, 1.0) > 0, -0.08).otherwise(-0.14)
+    anchored = F.when((F.col("shared_keywords") > 0) | (F.col("shared_numbers") > 0), 0.07).when(cues > 0, -0.08).otherwise(-0.14)
     respond = F.greatest(F.lit(-0.24), F.least(F.lit(0.06), fresh + anchored + F.when(tokens < 3, -0.10).otherwise(0.0)))
     silence = F.when(gap <= 4, 0.12).when(gap <= 10, 0.06).when(gap.isNull(), 0.0).otherwise(-0.08)
     broken = F.when(lx.last_word(F.col(answer)).isin(*lx.INCOMPLETE_MARKERS) | ~lx.ends_strongly(F.col(answer)), -0.10).otherwise(0.0)
     echo = F.when((F.col("token_overlap") >= 0.72) & (F.col("new_tokens") <= 1), -0.28).otherwise(0.0)
     voice = F.when(different_voice, 0.10).when(same_voice, -0.04).otherwise(0.0)
     parts = {
-        "start": F.lit(0.18), "distance": near, "cues": lx.cue_weight(rule, lx.ANSWER_CUES, 0.30), "aligned": F.col("alignment"), "responsive": respond,
+        "start": F.lit(0.18), "distance": near, "cues": F.least(F.lit(0.30), cues), "aligned": F.col("alignment"), "responsive": respond,
         "length": F.when((tokens >= 3) & (tokens <= 80), 0.08).otherwise(0.0), "silence": silence, "asks": F.when(asks, -0.20).otherwise(0.0), "broken": broken, "echo": echo, "voice": voice,
     }
     total: Column = F.lit(0.0)
     for name, col in parts.items():
         out = out.withColumn(f"part_{name}", F.coalesce(col, F.lit(0.0)))
         total = total + F.col(f"part_{name}")
-    return out.withColumn("answer_tokens", tokens).withColumn("answer_score", F.when(F.col(answer).isNotNull(), lx.clamp(total)))
+    return out.drop("_rule", "_cues").withColumn("answer_score", F.when(F.col(answer).isNotNull(), lx.clamp(total)))
 
 
 def pair_confidence(question_score: Column, answer_score: Column, competing: Column, asks: Column) -> Column:
@@ -157,8 +164,9 @@ def keyword_recurrence(questions: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def ranked_answers(df: DataFrame, group: list[str], score: str, distance: str, gap: str, ordinal: str) -> DataFrame:
-    """Adds `place`: best score first, then nearer, earlier, and as inserted."""
-    order = Window.partitionBy(*group).orderBy(F.col(score).desc_nulls_last(), F.col(distance), F.col(gap).asc_nulls_last(), F.col(ordinal))
+    """Adds `place`: best score first (to nine digits, so that noise of summation decides nothing), then nearer,
+    earlier, and as inserted."""
+    order = Window.partitionBy(*group).orderBy(F.round(F.col(score), 9).desc_nulls_last(), F.col(distance), F.col(gap).asc_nulls_last(), F.col(ordinal))
     return df.withColumn("place", F.row_number().over(order))
 
 
