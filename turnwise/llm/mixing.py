@@ -138,17 +138,14 @@ def mix_sources(df: DataFrame, item_id: str, size: str, source: str, language: s
         rest = rest.join(part.select("item"), "item", "left_anti")
     copied = drawn.select("item", "src", "lang", "n", F.col("whole").alias("copies")).unionByName(extra.withColumn("copies", F.lit(1)))
     used = staged(copied.groupBy("item", "src", "lang", "n").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0"))
-    taken = used.groupBy("src").agg(F.sum(F.col("n") * F.col("copies")).alias("used"))
+    taken = {r["src"]: r["used"] for r in used.groupBy("src").agg(F.sum(F.col("n") * F.col("copies")).alias("used")).collect()}  # one row per target at most
     have: dict[str, int] = {}
     planned: dict[str, float] = {}
     for r, b in zip(leaves, spent):
         have[r["src"]] = have.get(r["src"], 0) + r["n"]
         planned[r["src"]] = planned.get(r["src"], 0.0) + b
-    whole_share = sum(shares.values()) or 1.0
-    base = spark.createDataFrame([(s, shares[s] / whole_share, most[s], have.get(s, 0), planned.get(s, 0.0)) for s in sorted(shares)] , "source string, target_share double, max_repeats int, available bigint, budget double")
-    report = base.join(F.broadcast(taken.withColumnRenamed("src", "source")), "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
-    everything = taken.agg(F.sum("used").alias("everything"))
-    report = report.crossJoin(F.broadcast(everything))  # one row
-    report = report.withColumn("actual_share", F.coalesce(F.col("used") / F.col("everything"), F.lit(0.0))).drop("everything")
+    whole_share, everything = sum(shares.values()) or 1.0, sum(taken.values()) or 1
+    rows = [(s, shares[s] / whole_share, most[s], have.get(s, 0), planned.get(s, 0.0), taken.get(s, 0), taken.get(s, 0) / everything) for s in sorted(shares)]
+    report = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, available bigint, budget double, used bigint, actual_share double")
     out = used.select(F.col("item.id").cast(kind).alias(item_id), F.col("src").alias("source"), F.col("lang").alias("language"), F.col("n").alias("size"), "copies")
     return out, report
