@@ -3,8 +3,10 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_HERE = os.path.dirname(os.path.abspath(__file__))
+_PATHS = [os.path.dirname(_HERE), _HERE]
+sys.path[:0] = _PATHS
+os.environ["PYTHONPATH"] = os.pathsep.join([*_PATHS, *filter(None, [os.environ.get("PYTHONPATH")])])  # for the Python workers
 
 
 def make_session():

@@ -56,10 +56,10 @@ def cold_references(stages: DataFrame) -> DataFrame:
 
 
 def reference_choice(references: DataFrame, keys: Sequence[str], sample_id: str, duration: str, name: str) -> DataFrame:
-    """(keys, <name>_seconds, <name>_sample): per group the sample closest to the group's median, the first on ties."""
+    """(keys, <name>_seconds, <name>_sample): per group the sample closest to the median (to a microsecond), the first on ties."""
     middle = exact_percentiles(references, keys, duration, {"_median": 0.5})
     both = keyed_join(references, middle.drop("n"), keys).select(*keys, sample_id, duration, "_median")
-    best = F.struct(F.abs(F.col(duration) - F.col("_median")).alias("d"), F.col(sample_id).alias("s"))
+    best = F.struct(F.round(F.abs(F.col(duration) - F.col("_median")), 6).alias("d"), F.col(sample_id).alias("s"))
     return both.groupBy(*keys).agg(F.min_by(duration, best).alias(f"{name}_seconds"), F.min_by(sample_id, best).alias(f"{name}_sample"))
 
 

@@ -93,7 +93,7 @@ _REFS = "refs AS (SELECT * FROM st WHERE status = 'executed' AND NOT used_cache
 
 def _choice(name: str, keys: str) -> str:
     return f"""{name}_m AS (SELECT {keys}, quantile_cont(duration_seconds, 0.5) AS m FROM refs GROUP BY {keys}),
-        {name} AS (SELECT {keys}, arg_min(duration_seconds, (abs(duration_seconds - m), timing_id)) AS seconds, arg_min(timing_id, (abs(duration_seconds - m), timing_id)) AS sample
+        {name} AS (SELECT {keys}, arg_min(duration_seconds, (round(abs(duration_seconds - m), 6), timing_id)) AS seconds, arg_min(timing_id, (round(abs(duration_seconds - m), 6), timing_id)) AS sample
                    FROM refs JOIN {name}_m USING ({keys}) GROUP BY {keys})"""
 
 
