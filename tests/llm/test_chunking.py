@@ -3,7 +3,8 @@ import random
 
 import numpy as np
 import pytest
-from turnwise.llm.chunking import IMBALANCE, PENALTIES, best_cuts, cut_text, piece_start, split_oversized
+from turnwise.llm import chunking
+from turnwise.llm.chunking import IMBALANCE, PENALTIES, best_cuts, cut_positions, cut_text, piece_start, split_oversized
 from turnwise.llm.tokens import count_tokens, encoding, token_offsets
 
 
@@ -11,23 +12,30 @@ def brute(levels, limit, overlap):
     n = len(levels) - 1
     pieces = -(-(n - overlap) // (limit - overlap))
     even = (n + (pieces - 1) * overlap) / pieces
-    for finest in (2, 3, 4, 5):
-        best = None
-        at = [i for i in range(overlap + 1, n) if levels[i] <= finest]
-        for k in range(len(at) + 1):
-            for cuts in itertools.combinations(at, k):
-                sizes = [b - a for a, b in zip([0, *[piece_start(levels, c, overlap) for c in cuts]], [*cuts, n])]
-                if max(sizes) <= limit and all(b > a for a, b in zip((0, *cuts), (*cuts, n))):
-                    cost = sum(PENALTIES[levels[c]] for c in cuts) + sum(IMBALANCE * ((s - even) / even) ** 2 for s in sizes)
-                    best = cost if best is None else min(best, cost)
-        if best is not None:
-            return best
-    return None
+    best = None
+    at = [int(i) for i in cut_positions(levels, limit, overlap)]
+    for k in range(len(at) + 1):
+        for cuts in itertools.combinations(at, k):
+            sizes = [b - a for a, b in zip([0, *[piece_start(levels, c, overlap) for c in cuts]], [*cuts, n])]
+            if max(sizes) <= limit:
+                cost = sum(PENALTIES[levels[c]] for c in cuts) + sum(IMBALANCE * ((s - even) / even) ** 2 for s in sizes)
+                best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_finer_boundaries_only_where_needed():
+    levels = np.array([5, *[1 if i % 50 == 0 else 4 if i % 5 == 0 else 5 for i in range(1, 400)], 5], np.int8)
+    assert set(levels[cut_positions(levels, 100, 10)]) == {1}
+    levels[120:330] = 5
+    got = cut_positions(levels, 100, 10)
+    assert {int(x) for x in levels[got]} == {1, 4, 5} and all(115 < i < 335 for i in got if levels[i] == 5) and np.diff([0, *got, 400]).max() <= 86
 
 
-def test_cuts_are_optimal():
+@pytest.mark.parametrize("cells", [0, 4_000_000])
+def test_cuts_are_optimal(cells, monkeypatch):
+    monkeypatch.setattr(chunking, "TABLE_CELLS", cells)
     rng = random.Random(4)
-    for _ in range(60):
+    for _ in range(40):
         n, limit, overlap = rng.randrange(6, 15), rng.randrange(4, 7), rng.randrange(0, 3)
         levels = np.array([5] + [rng.choice([0, 1, 2, 3, 4, 5, 5, 9]) for _ in range(n - 1)] + [5], np.int8)
         want, cuts = brute(levels, limit, overlap), best_cuts(levels, limit, overlap)

@@ -16,24 +16,32 @@ from turnwise.llm.tokens import VOCABULARY, count_tokens, token_offsets
 PENALTIES = (0.0, 0.05, 0.1, 0.6, 1.2, 5.0)
 #: Weight of the squared relative difference from the even piece size.
 IMBALANCE = 1.0
+#: Distance of possible cuts inside stretches without any boundary.
+STRIDE = 16
+#: Cells up to which the dynamic program runs by layers; beyond it, position by position.
+TABLE_CELLS = 4_000_000
+#: Tokens below the limit from which a piece cut between words needs no second count.
+ROOM = 8
 
 _LEVELS = (
     regex.compile(r"\n[^\S\n]*\n\s*"),
     regex.compile(r"\n\s*"),
     regex.compile(r"(?:[.!?…؟।]+[\"”»’)\]」』]*(?=\s|$))|[。！？]+[\"”»’)\]」』]*|(?<=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])(?=\s)"),
     regex.compile(r"[,;:،；：，、–—]+(?=\s|[\p{Han}\p{Hiragana}\p{Katakana}])"),
-    regex.compile(r"\s+|(?<=\S)(?=\s)"),
 )
+_BLANKS = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 
 
 def cut_levels(text: str, offsets: np.ndarray) -> np.ndarray:
     """Kind of boundary (index into PENALTIES) at every token boundary; 9 where no cut is possible."""
     best = np.full(len(text) + 1, 5, np.int8)
+    blank = np.isin(np.frombuffer(text.encode("utf-32-le"), np.uint32), _BLANKS)
+    best[:-1][blank] = 4  # before white space and behind it a word ends
+    best[1:][blank] = 4
     for level in range(len(_LEVELS) - 1, -1, -1):
-        for m in _LEVELS[level].finditer(text):
-            best[m.end()] = level
-            if level == 2:  # the space behind a mark usually goes with the next token
-                best[m.end()] = min(best[m.end()], 2)
+        if level < 2 and "\n" not in text:
+            continue
+        best[[m.end() for m in _LEVELS[level].finditer(text)]] = level
     out = np.where(offsets >= 0, best[np.maximum(offsets, 0)], 9).astype(np.int8)
     return out
 
@@ -46,12 +54,69 @@ def piece_start(levels: np.ndarray, cut: int, overlap: int) -> int:
     return at
 
 
+def _layered(at: np.ndarray, start: np.ndarray, penalty: np.ndarray, low: np.ndarray, width: int, limit: int, even: float, n: int, pieces: int, overlap: int) -> list[int] | None:
+    """The dynamic program by number of pieces, each layer over all positions at once.
+
+    With p pieces the mean size is known, and by convexity the imbalance costs at least p times its squared deviation;
+    layers end when that alone exceeds the best cutting found, so the result is the least over any number of pieces.
+    """
+    m = len(at)
+    reach = low[:, None] + np.arange(width)[None, :]
+    open_ = reach < np.arange(m)[:, None]
+    reach = np.minimum(reach, m - 1)
+    fit = np.where(open_, IMBALANCE * ((at[:, None] - start[reach] - even) / even) ** 2, np.inf) + penalty[:, None]
+    cost = np.where(at <= limit, penalty + IMBALANCE * ((at - even) / even) ** 2, np.inf)
+    best, found = np.inf, None
+    backs: list[np.ndarray] = []
+    rows = np.arange(m)
+    while np.isfinite(cost).any():
+        if cost[-1] < best:
+            best, found = float(cost[-1]), len(backs)
+        p = len(backs) + 2
+        mean = min(even, (n + (p - 1) * (overlap + 3)) / p)
+        if p > pieces and IMBALANCE * p * ((mean - even) / even) ** 2 >= best or not width:
+            break
+        total = fit + cost[reach]
+        step = total.argmin(1)
+        cost = total[rows, step]
+        backs.append(reach[rows, step])
+    if found is None:
+        return None
+    cuts, j = [], m - 1
+    for back in reversed(backs[:found]):
+        j = int(back[j])
+        cuts.append(int(at[j]))
+    return cuts[::-1]
+
+
+def cut_positions(levels: np.ndarray, limit: int, overlap: int) -> np.ndarray:
+    """Token positions that may be cut, in order: ends of paragraphs, lines and sentences, and, only inside stretches
+    too long for a piece, the next finer boundaries; inside unbroken stretches every STRIDE tokens."""
+    n = len(levels) - 1
+    step = max(1, limit - overlap - 4)
+    at = np.flatnonzero(levels <= 2)
+    for finest in (3, 4, 5):
+        edges = np.concatenate([[0], at, [n]])
+        wide = np.flatnonzero(np.diff(edges) > step)
+        if not len(wide):
+            break
+        more = []
+        for k in wide:
+            inner = np.flatnonzero(levels[edges[k] + 1 : edges[k + 1]] <= finest) + edges[k] + 1
+            if finest == 5:
+                cells = inner // min(STRIDE, max(1, step // 4))
+                inner = inner[np.concatenate([[True], np.diff(cells) > 0])] if len(inner) else inner
+            more.append(inner)
+        at = np.unique(np.concatenate([at, *more]))
+    return at[(at > overlap) & (at < n)]
+
+
 def best_cuts(levels: np.ndarray, limit: int, overlap: int) -> list[int] | None:
     """Token positions of the cuts that cost least, as found by dynamic programming; None if no cutting is possible.
 
-    A piece runs from `piece_start` of the previous cut to the next cut and holds at most `limit` tokens. The
-    cost of a cutting is the sum of its cuts' penalties and of the pieces' squared relative deviations from the even
-    size. Finer boundaries are admitted only where coarser ones allow no cutting at all.
+    A piece runs from `piece_start` of the previous cut to the next cut and holds at most `limit` tokens. The cost of a
+    cutting is the sum of its cuts' penalties and of the pieces' squared relative deviations from the even size; cuts
+    lie on `cut_positions`.
     """
     n = len(levels) - 1
     if n <= limit:
@@ -59,41 +124,38 @@ def best_cuts(levels: np.ndarray, limit: int, overlap: int) -> list[int] | None:
     step = limit - overlap
     pieces = -(-(n - overlap) // step)
     even = (n + (pieces - 1) * overlap) / pieces
-    whole = levels < 9
-    for finest in (2, 3, 4, 5):
-        at = np.flatnonzero(whole & (levels <= finest))
-        at = at[(at > overlap) & (at < n)]
-        at = np.concatenate([at, [n]])
-        start = np.array([piece_start(levels, int(c), overlap) for c in at])
-        cost = np.full(len(at), np.inf)
-        back = np.full(len(at), -1)
-        penalty = np.array([*PENALTIES, *[np.inf] * 4])[levels[at]]
-        penalty[-1] = 0.0
-        low = 0
-        for j, e in enumerate(at):
-            if e <= limit:
-                cost[j] = penalty[j] + IMBALANCE * ((e - even) / even) ** 2
-            while start[low] < e - limit:
-                low += 1
-            if low < j:
-                size = e - start[low:j]
-                total = cost[low:j] + IMBALANCE * ((size - even) / even) ** 2
-                k = int(np.argmin(total))
-                if total[k] + penalty[j] < cost[j]:
-                    cost[j], back[j] = total[k] + penalty[j], low + k
-        if np.isfinite(cost[-1]):
-            cuts, j = [], int(back[-1])
-            while j >= 0:
-                cuts.append(int(at[j]))
-                j = int(back[j])
-            return cuts[::-1]
-    return None
+    at = np.concatenate([cut_positions(levels, limit, overlap), [n]])
+    start = np.array([piece_start(levels, int(c), overlap) for c in at])
+    penalty = np.array([*PENALTIES, *[np.inf] * 4])[levels[at]]
+    penalty[-1] = 0.0
+    low = np.searchsorted(start, at - limit)
+    width = int((np.arange(len(at)) - low).max(initial=0))
+    if len(at) * width <= TABLE_CELLS:
+        return _layered(at, start, penalty, low, width, limit, even, n, pieces, overlap)
+    cost, back = np.full(len(at), np.inf), np.full(len(at), -1)
+    for j, e in enumerate(at):
+        if e <= limit:
+            cost[j] = penalty[j] + IMBALANCE * ((e - even) / even) ** 2
+        k = low[j]
+        if k < j:
+            total = cost[k:j] + IMBALANCE * ((e - start[k:j] - even) / even) ** 2
+            i = int(total.argmin())
+            if total[i] + penalty[j] < cost[j]:
+                cost[j], back[j] = total[i] + penalty[j], k + i
+    if not np.isfinite(cost[-1]):
+        return None
+    cuts, j = [], int(back[-1])
+    while j >= 0:
+        cuts.append(int(at[j]))
+        j = int(back[j])
+    return cuts[::-1]
 
 
 def cut_text(text: str, limit: int, overlap: int, path: str = VOCABULARY) -> list[tuple[int, int, int, int]]:
     """(first token, last token, start char, end char) of each piece; one piece if the text is within the limit.
 
-    Pieces are measured again on their own; should one exceed the limit so, the whole text is cut with a lower one.
+    Pieces that are near the limit or part words are measured again on their own; should one exceed the limit so, the
+    whole text is cut with a lower one.
     """
     offsets = token_offsets(text, path)
     n = len(offsets) - 1
@@ -106,7 +168,9 @@ def cut_text(text: str, limit: int, overlap: int, path: str = VOCABULARY) -> lis
             continue
         starts = [0, *[piece_start(levels, c, overlap) for c in cuts]]
         out = [(a, b, int(offsets[a]), int(offsets[b])) for a, b in zip(starts, [*cuts, n])]
-        if all(count_tokens(text[a:b], path) <= limit for _, _, a, b in out):
+        # tokens change only where a cut parts a word, or by a blank or two at the ends
+        near = [(a, b) for x, y, a, b in out if y - x > limit - ROOM or levels[x] == 5 or levels[y] == 5]
+        if all(count_tokens(text[a:b], path) <= limit for a, b in near):
             return out
     raise ValueError(f"no cutting into pieces of {limit} tokens with {overlap} shared")
 
