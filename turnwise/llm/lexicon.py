@@ -56,7 +56,11 @@ SPEAKER_WORD = r"speaker|spk|relatore|relatrice|oratore|interlocutore|sprecher|s
 CUE = regex.compile(
     rf"(?i)[<\[(]\s*(?:{SPEAKER_WORD}|s)[\s_#-]*(\d{{1,4}})\s*[>\])]|(?<!\w)(?:{SPEAKER_WORD})[\s_#-]*(\d{{1,4}})\s*(?::|>>|-(?=\s)|–(?=\s)|—(?=\s))"
 )
-_WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'’ー-]*")
+SPOKEN_WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'’ー-]*")
+
+
+#: Characters without which a text holds no clutter.
+_CLUTTERED = regex.compile(r"[\[\](){}<>（）【】*♪♫♬:]|\d\s*[-–—]\s")
 
 
 def label_lang(label: str | None) -> str | None:
@@ -69,6 +73,8 @@ def label_lang(label: str | None) -> str | None:
 
 def without_clutter(text: str) -> str:
     """`text` without cues, annotations and timestamps. Hesitation sounds stay."""
+    if not _CLUTTERED.search(text):
+        return text
     out = CUE.sub(" ", text)
     for _ in range(8):
         less = ANNOTATION.sub(" ", out)
@@ -82,4 +88,4 @@ def spoken_words(text: str | None) -> list[str]:
     """The words of a text that are speech: no clutter, no hesitation sounds."""
     if not text:
         return []
-    return [w for w in _WORD.findall(without_clutter(text)) if w.strip("-'’").lower() not in FILLER_WORDS]
+    return [w for w in SPOKEN_WORD.findall(without_clutter(text)) if w.strip("-'’").lower() not in FILLER_WORDS]
