@@ -56,3 +56,17 @@ def test_operator(spark):
     got = {(r["gid"], r["start_offset"], r["end_offset"]) for r in split_sentences(df, "gid", "body").collect()}
     assert {x for x in got if x[0] != "e"} == {("a", 0, 11), ("a", 12, 23), ("d", 0, 13), (None, 0, 4), (None, 5, 8)} and len(got) == 5005
     assert split_sentences(df.limit(0), "gid", "body").count() == 0
+
+
+def test_batches_agree_with_single_texts():
+    import pyarrow as pa
+    from turnwise.llm.sentences import _batch_posteriors, _features_arrow
+
+    texts = ["One two. Yes. Three four! No. “Five” six… seven. Go. End", "", "No gap", "测量结果是16.54度。“新的？”同学这样说。 这样", "He met Dr. A. Lumo. Why?\nBecause. A"]
+    rng = np.random.default_rng(4)
+    model = BoundaryModel(rng.random(1 << 20) * 3, rng.random(1 << 20) * 4 + 3)
+    batch = next(_features_arrow(False)(iter([pa.RecordBatch.from_pydict({"id": [str(i) for i in range(5)], "t": texts})])))
+    for m in (model, BoundaryModel()):
+        first, post, _, _ = _batch_posteriors(m, batch)
+        for d, t in enumerate(texts):
+            assert np.allclose(post[first[d] : first[d + 1]], m.posteriors(gaps_of(t)), atol=1e-6)

@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.session import staged
+
 #: Slots of the hashed n-gram table; its size is fixed, whatever the corpus.
 SLOTS = 1 << 20
 #: Rounds of re-estimation after the seeded one.
@@ -284,51 +286,7 @@ class BoundaryModel:
                 pair[k, 1] = 1 - shy, shy
             else:
                 pair[k, 1] = pair[k, 0]
-        ahead = np.ones((n, 2))
-        state = np.array([0.0, 1.0])
-        forward = np.zeros((n, 2))
-        for k in range(n):
-            state = state @ pair[k]
-            state /= state.sum()
-            forward[k] = state
-        for k in range(n - 2, -1, -1):
-            ahead[k] = pair[k + 1] @ ahead[k + 1]
-            ahead[k] /= ahead[k].sum()
-        both = forward * ahead
-        return both[:, 1] / both.sum(1)
-
-
-def _counted(text: str, model: BoundaryModel, table: dict[int, list[float]], words: Counter | None) -> None:
-    """Adds a text's expected n-gram counts around its gaps; to `words`, the words that stand at no gap."""
-    gaps = gaps_of(text)
-    post = model.posteriors(gaps)
-
-    def add(slots: tuple[int, int], mass: float, n: float = 1.0) -> None:
-        for slot in set(slots):
-            cell = table.get(slot)
-            if cell is None:
-                table[slot] = [mass, n]
-            else:
-                cell[0] += mass
-                cell[1] += n
-
-    for k, (g, p) in enumerate(zip(gaps, post)):
-        ls, rs = _keys(g)
-        for s in (*ls, *rs):
-            add(s, p)
-        if not _loose(g):
-            add(_slot("R2", g.right, g.kind), p)
-            add(_slot("R1", g.kind), p)
-            add(_slot("R0"), p)
-        add(_slot("S0"), p)
-        if g.words <= 1 and k:
-            add(_short(g), p * post[k - 1], post[k - 1])
-    if words is not None:
-        taken = {g.next for g in gaps}
-        for m in _RIGHT_WORDS.finditer(text):
-            i = m.start()
-            if i not in taken and i - 1 not in taken:
-                words[m[0], i == 0 or text[i - 1] in "\"“«„‘¿¡「『《\n"] += 1
+        return _forward_backward(pair[:, 0, 1], pair[:, 1, 1], np.ones(n, bool))
 
 
 def _add_words(words: Counter, table: dict[int, list[float]]) -> None:
@@ -342,23 +300,132 @@ def _add_words(words: Counter, table: dict[int, list[float]]) -> None:
 
 
 _RIGHT_WORDS = regex.compile(rf"[{_UNSPACED}]{{2}}|[\p{{L}}\p{{M}}\p{{N}}]+(?:['’][\p{{L}}\p{{M}}]+)?")
-_COUNTS = pa.schema([("slot", pa.int32()), ("mass", pa.float64()), ("seen", pa.float64()), ("fixed", pa.bool_())])
+_N_KEYS = 10
+_FEATURES = pa.schema(
+    [("id", pa.string()), ("text", pa.string()), ("lead", pa.int32()), ("tail", pa.int32()), ("ends", pa.list_(pa.int32())), ("nexts", pa.list_(pa.int32())), ("seeds", pa.list_(pa.float32())),
+     ("short", pa.list_(pa.bool_())), ("loose", pa.list_(pa.bool_())), ("slots", pa.list_(pa.int32())), ("word_slots", pa.list_(pa.int32())), ("word_mass", pa.list_(pa.float64())), ("word_seen", pa.list_(pa.float64()))]
+)
+_FEATURES_DDL = (
+    "id string, text string, lead int, tail int, ends array<int>, nexts array<int>, seeds array<float>, short array<boolean>, loose array<boolean>, slots array<int>, "
+    "word_slots array<int>, word_mass array<double>, word_seen array<double>"
+)
 
 
+def _features_arrow(with_words: bool):
+    """Texts as the numbers that training and decoding need, so that texts are scanned once; and, in rows without a
+    text, the merged counts of the words that stand at no gap."""
 
-def _count_arrow(shared, with_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared.value)
-        table: dict[int, list[float]] = {}
-        static: dict[int, list[float]] = {}
         for b in batches:
-            words: Counter | None = Counter() if with_words else None
-            for t in b.column(0).to_pylist():
-                _counted(t, model, table, words)
+            rows = []
+            words: Counter = Counter()
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                gaps = gaps_of(t)
+                slots: list[int] = []
+                for g in gaps:
+                    ls, rs = _keys(g)
+                    every = rs if _loose(g) else [_slot("R2", g.right, g.kind), _slot("R1", g.kind), _slot("R0")]
+                    for pair in (*ls, *rs, *every, _short(g)):
+                        slots += pair
+                rows.append((i, t, len(t) - len(t.lstrip()), len(t.rstrip()), [g.end for g in gaps], [g.next for g in gaps], [g.seed for g in gaps], [k > 0 and g.words <= 1 for k, g in enumerate(gaps)], [_loose(g) for g in gaps], slots, None, None, None))
+                if with_words:
+                    taken = {g.next for g in gaps}
+                    for m in _RIGHT_WORDS.finditer(t):
+                        k = m.start()
+                        if k not in taken and k - 1 not in taken:
+                            words[m[0], k == 0 or t[k - 1] in "\"“«„‘¿¡「『《\n"] += 1
             if words:
-                _add_words(words, static)
-        for part, fixed in ((table, False), (static, True)):
-            yield pa.RecordBatch.from_pydict({"slot": list(part), "mass": [v[0] for v in part.values()], "seen": [v[1] for v in part.values()], "fixed": [fixed] * len(part)}, schema=_COUNTS)
+                table: dict[int, list[float]] = {}
+                _add_words(words, table)
+                rows.append((*[None] * 10, list(table), [v[0] for v in table.values()], [v[1] for v in table.values()]))
+            cols = list(zip(*rows)) if rows else [[]] * len(_FEATURES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FEATURES)], schema=_FEATURES)
+
+    return run
+
+
+def _flat(column: pa.Array, kind: type) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+
+
+def _batch_posteriors(model: BoundaryModel, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first gap of every text, posteriors, slots, short flags) of a batch of features: what
+    `BoundaryModel.posteriors` gives text by text."""
+    names = b.schema.names
+    seeds = _flat(b.column(names.index("seeds")), np.float64)
+    short = _flat(b.column(names.index("short")), bool)
+    slots = _flat(b.column(names.index("slots")), np.int64).reshape(-1, _N_KEYS, 2)
+    sizes = np.array([len(x) if x is not None else 0 for x in b.column(names.index("seeds")).to_pylist()], np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    if model.mass is None or not len(seeds):
+        return first, seeds, slots, short
+    pick = np.where(model.seen[slots[:, :, 0]] <= model.seen[slots[:, :, 1]], slots[:, :, 0], slots[:, :, 1])
+    mass, seen = model.mass[pick].astype(np.float64), model.seen[pick].astype(np.float64)
+    base = model._rate([_slot("S0")], 0.5)
+
+    def rate(keys: tuple[int, ...]) -> np.ndarray:
+        p = np.full(len(seeds), base)
+        for k in keys:
+            p = (mass[:, k] + BACKOFF * p) / (seen[:, k] + BACKOFF)
+        return np.clip(p, 1e-6, 1 - 1e-6)
+
+    logit = lambda p: np.log(p / (1 - p))
+    lift = np.clip(logit(rate((5, 4, 3))) - logit(rate((5,))), -LIFT, LIFT)
+    post = 1 / (1 + np.exp(-np.clip(logit(rate((2, 1, 0))) + lift, -40, 40)))
+    shy = (mass[:, 9] + BACKOFF * post * 0.3) / (seen[:, 9] + BACKOFF)
+    for d in np.unique(np.searchsorted(first, np.flatnonzero(short), "right") - 1):
+        a, e = first[d], first[d + 1]
+        post[a:e] = _forward_backward(post[a:e], shy[a:e], short[a:e])
+    return first, post, slots, short
+
+
+def _forward_backward(p: np.ndarray, shy: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Posteriors of a chain in which `p` is a boundary's probability, and `shy` where the gap before is one."""
+    n = len(p)
+    pair = np.stack([np.stack([1 - p, p], 1), np.stack([1 - np.where(short, shy, p), np.where(short, shy, p)], 1)], 1)
+    ahead, forward, state = np.ones((n, 2)), np.zeros((n, 2)), np.array([0.0, 1.0])
+    for k in range(n):
+        state = state @ pair[k]
+        state = state / state.sum()
+        forward[k] = state
+    for k in range(n - 2, -1, -1):
+        ahead[k] = pair[k + 1] @ ahead[k + 1]
+        ahead[k] /= ahead[k].sum()
+    both = forward * ahead
+    return both[:, 1] / both.sum(1)
+
+
+_COUNTS = pa.schema([("slot", pa.int32()), ("mass", pa.float64()), ("seen", pa.float64())])
+_COUNTS_DDL = "slot int, mass double, seen double"
+
+
+def _count_arrow(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(shared.value)
+        mass, seen = np.zeros(SLOTS), np.zeros(SLOTS)
+
+        def add(slots: np.ndarray, m: np.ndarray, n: np.ndarray) -> None:
+            two = slots[:, 0] != slots[:, 1]
+            for cells, keep in ((slots[:, 0], slice(None)), (slots[two, 1], two)):
+                np.add.at(mass, cells, m[keep])
+                np.add.at(seen, cells, n[keep])
+
+        start = np.array([_slot("S0")])
+        for b in batches:
+            first, post, slots, short = _batch_posteriors(model, b)
+            if not len(post):
+                continue
+            loose = _flat(b.column(b.schema.names.index("loose")), bool)
+            ones = np.ones(len(post))
+            for k in range(6):
+                add(slots[:, k], post, ones)
+            for k in range(6, 9):
+                add(slots[~loose, k], post[~loose], ones[~loose])
+            add(start, post.sum(keepdims=True), ones.sum(keepdims=True))
+            at = np.flatnonzero(short)
+            add(slots[at, 9], post[at] * post[at - 1], post[at - 1])
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(mass[used]), pa.array(seen[used])], schema=_COUNTS)
 
     return run
 
@@ -370,26 +437,38 @@ def _model(raw: bytes) -> BoundaryModel:
     return BoundaryModel(both[:SLOTS], both[SLOTS:])
 
 
-def fit_boundaries(texts: DataFrame, text: str, rounds: int = ROUNDS) -> bytes:
+def _table(rows: DataFrame, static: np.ndarray | None = None) -> np.ndarray:
+    both = np.zeros(2 * SLOTS) if static is None else static.copy()
+    got = rows.groupBy("slot").agg(F.sum("mass").alias("mass"), F.sum("seen").alias("seen")).toPandas()
+    slot = got["slot"].to_numpy(int)
+    both[slot] += got["mass"].to_numpy(float)
+    both[SLOTS + slot] += got["seen"].to_numpy(float)
+    return both
+
+
+def _features(texts: DataFrame, record_id: str, text: str, with_words: bool) -> DataFrame:
+    picked = texts.filter(F.col(text).isNotNull()).select(F.col(record_id).cast("string").alias("id"), F.col(text).alias("t"))
+    return staged(picked.mapInArrow(_features_arrow(with_words), _FEATURES_DDL))
+
+
+def _fit(features: DataFrame, rounds: int) -> bytes:
+    sc = features.sparkSession.sparkContext
+    words = features.filter("word_slots is not null").select(F.explode(F.arrays_zip("word_slots", "word_mass", "word_seen")).alias("x"))
+    static = _table(words.select(F.col("x.word_slots").alias("slot"), F.col("x.word_mass").alias("mass"), F.col("x.word_seen").alias("seen")))
+    gaps = features.filter("seeds is not null").select("seeds", "short", "loose", "slots")
+    raw = b""
+    for _ in range(rounds + 1):
+        raw = _table(gaps.mapInArrow(_count_arrow(sc.broadcast(raw)), _COUNTS_DDL), static).astype(np.float32).tobytes()
+    return raw
+
+
+def fit_boundaries(texts: DataFrame, record_id: str, text: str, rounds: int = ROUNDS) -> bytes:
     """The model's table, trained on all texts without labels: seeded counts, then re-estimated from posteriors.
 
-    Each round is one pass; tasks send merged counts, and the driver receives at most 2 * SLOTS rows.
+    Texts are scanned once into features; each round is a pass over those. Tasks send merged counts, and the driver
+    receives at most SLOTS rows.
     """
-    sc = texts.sparkSession.sparkContext
-    rows = texts.filter(F.col(text).isNotNull()).select(F.col(text).alias("t")).distinct()
-    raw, static = b"", np.zeros(2 * SLOTS)
-    for k in range(rounds + 1):
-        counts = rows.mapInArrow(_count_arrow(sc.broadcast(raw), k == 0), "slot int, mass double, seen double, fixed boolean")
-        both = static.copy()
-        got = counts.groupBy("slot", "fixed").agg(F.sum("mass").alias("mass"), F.sum("seen").alias("seen")).toPandas()
-        for fixed, part in got.groupby("fixed"):
-            slot = part["slot"].to_numpy(int)
-            both[slot] += part["mass"].to_numpy(float)
-            both[SLOTS + slot] += part["seen"].to_numpy(float)
-            if fixed:
-                static[slot], static[SLOTS + slot] = part["mass"], part["seen"]
-        raw = both.astype(np.float32).tobytes()
-    return raw
+    return _fit(_features(texts, record_id, text, True), rounds)
 
 
 def split_text(text: str | None, model: BoundaryModel) -> list[tuple[int, int]]:
@@ -415,8 +494,20 @@ def _split_arrow(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = [(i, k, a, e, t[a:e]) for i, t in zip(ids, texts) for k, (a, e) in enumerate(split_text(t, model))]
+            first, post, _, _ = _batch_posteriors(model, b)
+            ids, texts, leads, tails, ends, nexts = (b.column(i).to_pylist() for i in range(6))
+            rows = []
+            for d, (i, t) in enumerate(zip(ids, texts)):
+                if tails[d] == 0:
+                    continue
+                at, k = leads[d], 0
+                cuts = np.flatnonzero(post[first[d] : first[d + 1]] > 0.5)
+                for e, nxt in [*((ends[d][c], nexts[d][c]) for c in cuts), (tails[d], 0)]:
+                    piece = t[at:e].rstrip()
+                    if piece:
+                        rows.append((i, k, at, at + len(piece), piece))
+                        k += 1
+                    at = nxt
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FOUND)], schema=_FOUND)
 
@@ -437,6 +528,8 @@ def split_sentences(df: DataFrame, record_id: str, text: str, model: bytes | Non
     whole; an empty input gives no rows; other columns are ignored, whatever their names.
     """
     picked = df.select(F.col(record_id).cast("string").alias("id"), F.col(text).alias("t")).filter("t is not null").dropDuplicates(["id", "t"])
-    raw = fit_boundaries(picked, "t") if model is None else model
-    out = picked.mapInArrow(_split_arrow(df.sparkSession.sparkContext.broadcast(raw)), "id string, sentence_no int, start_offset int, end_offset int, sentence string")
+    features = _features(picked, "id", "t", model is None)
+    raw = _fit(features, ROUNDS) if model is None else model
+    rows = features.filter("seeds is not null").select("id", "text", "lead", "tail", "ends", "nexts", "seeds", "short", "slots")
+    out = rows.mapInArrow(_split_arrow(df.sparkSession.sparkContext.broadcast(raw)), "id string, sentence_no int, start_offset int, end_offset int, sentence string")
     return out.select(F.col("id").alias(record_id), "sentence_no", "start_offset", "end_offset", "sentence")
