@@ -57,6 +57,9 @@ END_RATE = 0.05
 _CLAUSE = regex.compile(r"[.!?;:,…()。！？、，؟।\n]+")
 _FINAL = regex.compile(r"[.!?。！？।؟;](?:[\"”»’)\]」』*]|\s)*$")
 _SENTENCE_END = regex.compile(r"(?<=[.!?。！？।؟…])[\s\"”»’)\]」』]*(?=\s|$|[。！？」])|(?<=[。！？])")
+_FACE = regex.compile(r"[:;]-?[()/|]$")
+_DOTTED = regex.compile(r"(?:\.{2,}|…)(?:[\"”»’)\]]|\s)*$")
+_WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*")
 
 
@@ -148,7 +151,7 @@ def _tokens(text: str) -> list[str]:
     out: list[str] = []
     last = ""
     for t in _TOKEN.findall(text.casefold()):
-        if len(t) == 1 and regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", t):
+        if len(t) == 1 and _WIDE.match(t):
             out.append(last + t)  # characters of unspaced scripts go in pairs
             last = t
         else:
@@ -161,24 +164,29 @@ def _key(kind: str, *words: str) -> int:
     return xxhash.xxh3_64_intdigest(kind + "\x1f".join(words)) - (1 << 63)
 
 
-def _keys_at(ts: list[str], i: int) -> tuple[int, int, int, int]:
-    a, b, c = (ts[i - 2] if i > 1 else "^"), (ts[i - 1] if i else "^"), ts[i]
+def _keys_of(a: str, b: str, c: str) -> tuple[int, int, int, int]:
+    """Keys of a word, its pair, its context and all three; `^` stands before a sentence."""
     return _key("W", c), _key("B", b, c), _key("P", a, b), _key("C", a, b, c)
 
 
+def _last_keys(ts: list[str]) -> tuple[int, int, int, int]:
+    a, b, c = ["^", "^", *ts][-3:]
+    return _keys_of(a, b, c)
+
+
 def _sentences(answer: str) -> list[list[str]]:
     return [ts for s in _SENTENCE_END.split(without_clutter(answer)) if (ts := _tokens(" ".join(spoken_words(s))))]
 
 
 def _unspaced(tokens: list[str]) -> bool:
-    return regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", tokens[-1]) is not None
+    return _WIDE.match(tokens[-1]) is not None
 
 
 def _unterminated(answer: str) -> str | None:
     """The answer's last sentence if it lacks a final mark (an ellipsis is none), without the trailing marks; else None."""
     t = without_clutter(answer).rstrip()
-    t = regex.sub(r"[:;]-?[()/|]$", "", t).rstrip()  # a face is no bracket
-    dotted = regex.search(r"(?:\.{2,}|…)(?:[\"”»’)\]]|\s)*$", t)
+    t = _FACE.sub("", t).rstrip()  # a face is no bracket
+    dotted = _DOTTED.search(t)
     if _FINAL.search(t) and not dotted:
         return None
     return t
@@ -201,19 +209,27 @@ def _stats_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     do without marks.
     """
     for b in batches:
-        total: Counter[int] = Counter()
-        ends: Counter[int] = Counter()
+        seen: Counter[tuple[str, str, str]] = Counter()
+        last: Counter[tuple[str, str, str]] = Counter()
         for text in b.column(0).to_pylist():
             sentences = _sentences(text)
             open_ = _unterminated(text) is not None
             for n, ts in enumerate(sentences, 1):
-                for i in range(len(ts)):
-                    ks = _keys_at(ts, i)
-                    total.update(ks)
-                    if i == len(ts) - 1 and (n < len(sentences) or not open_ or _unspaced(ts)):
-                        ends.update(ks)
-        keys = list(total)
-        yield pa.RecordBatch.from_pydict({"key": keys, "ends": [ends[k] for k in keys], "total": [total[k] for k in keys]}, schema=_STATS)
+                padded = ["^", "^", *ts]
+                seen.update(zip(padded, padded[1:], ts))
+                if n < len(sentences) or not open_ or _unspaced(ts):
+                    last[tuple(padded[-3:])] += 1
+        total: dict[int, list[int]] = {}
+        for three, n in seen.items():
+            e = last.get(three, 0)
+            for k in _keys_of(*three):
+                cell = total.get(k)
+                if cell is None:
+                    total[k] = [e, n]
+                else:
+                    cell[0] += e
+                    cell[1] += n
+        yield pa.RecordBatch.from_pydict({"key": list(total), "ends": [v[0] for v in total.values()], "total": [v[1] for v in total.values()]}, schema=_STATS)
 
 
 _DIRECT = pa.schema([("pair_id", pa.string()), ("defect_type", pa.string()), ("keys", pa.list_(pa.int64())), ("cut", pa.bool_()), ("own_end", pa.int32())])
@@ -239,7 +255,7 @@ def _direct_arrow(shared):
                 elif min(q_lang[n], a_lang[n]) >= 0 and q_lang[n] != a_lang[n] and a_words[n] >= 2 and a_hits[n, q_lang[n]] <= 0.7 * a_hits[n, a_lang[n]]:
                     rows.append((i, "other_language", None, False, 0))
                 elif (t := _unterminated(a)) is not None and (sent := _sentences(a)):
-                    rows.append((i, None, list(_keys_at(sent[-1], len(sent[-1]) - 1)), _open_bracket(t), int(_unspaced(sent[-1]))))
+                    rows.append((i, None, list(_last_keys(sent[-1])), _open_bracket(t), int(_unspaced(sent[-1]))))
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _DIRECT)], schema=_DIRECT)
 
