@@ -19,6 +19,11 @@ QUALITY_HIGH, QUALITY_MEDIUM = 0.72, 0.50
 SECRET_KEYS = "token|secret|password|api_key|auth"
 
 
+def exact_sum(seconds: Column) -> Column:
+    """Sum of seconds in whole microseconds, which does not depend on the order of addition."""
+    return F.sum(F.round(seconds * 1e6).cast("bigint")) / 1e6
+
+
 def timing_summary(stages: DataFrame) -> DataFrame:
     """Per run: stage counts by status and reuse, the costliest stage (the first of equal ones), total and label.
 
@@ -36,7 +41,7 @@ def timing_summary(stages: DataFrame) -> DataFrame:
         tally(F.col("used_cache")).alias("cache_hits"),
         tally(F.col("used_existing_artifact")).alias("artifact_hits"),
         tally(F.col("forced_recompute")).alias("forced"),
-        F.sum(cost).alias("total_seconds"),
+        exact_sum(cost).alias("total_seconds"),
         F.min_by("stage_name", F.struct((-cost).alias("c"), "ordinal")).alias("costliest_stage"),
     )
     label = F.when(F.col("forced") > 0, "forced").when(F.col("reused") == 0, "cold").when(F.col("executed") <= F.col("reused"), "warm").otherwise("mixed")
@@ -75,7 +80,7 @@ def cold_equivalents(stages: DataFrame, tiers: Sequence[Sequence[str]]) -> DataF
         rows = keyed_join(rows, picked, keys, "left")
     reused = F.col("status") == "reused"
     cost = F.when(reused, F.coalesce(*[F.col(f"t{i}_seconds") for i in range(len(tiers))])).otherwise(F.coalesce("duration_seconds", F.lit(0.0)))
-    runs = rows.groupBy("run_id").agg(F.sum(cost).alias("s"), F.bool_and(cost.isNotNull()).alias("complete"), F.count(F.when(reused, 1)).alias("replaced_stages"))
+    runs = rows.groupBy("run_id").agg(exact_sum(cost).alias("s"), F.bool_and(cost.isNotNull()).alias("complete"), F.count(F.when(reused, 1)).alias("replaced_stages"))
     return runs.select("run_id", F.when(F.col("complete"), F.col("s")).alias("cold_equivalent_seconds"), "complete", "replaced_stages")
 
 

@@ -101,7 +101,7 @@ _RUNS = f"""
     WITH {_ST}
     SELECT session_id, run_id, count(*) AS stages, count(*) FILTER (status IN ('executed', 'failed')) AS executed, count(*) FILTER (status = 'reused') AS reused,
         count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (used_cache) AS cache_hits,
-        count(*) FILTER (used_existing_artifact) AS artifact_hits, count(*) FILTER (forced_recompute) AS forced, sum(coalesce(duration_seconds, 0)) AS total_seconds,
+        count(*) FILTER (used_existing_artifact) AS artifact_hits, count(*) FILTER (forced_recompute) AS forced, sum(round(coalesce(duration_seconds, 0) * 1e6)::BIGINT) / 1e6 AS total_seconds,
         arg_min(stage_name, (-coalesce(duration_seconds, 0), ordinal)) AS costliest_stage,
         CASE WHEN count(*) FILTER (forced_recompute) > 0 THEN 'forced' WHEN count(*) FILTER (status = 'reused') = 0 THEN 'cold'
              WHEN count(*) FILTER (status IN ('executed', 'failed')) <= count(*) FILTER (status = 'reused') THEN 'warm' ELSE 'mixed' END AS run_label
@@ -116,7 +116,7 @@ SQL = {
     "cold_equivalent_runtime": f"""WITH {_ST}, {_REFS}, {_choice('a', 'stage_name, session_id')}, {_choice('b', 'stage_name')},
         x AS (SELECT st.run_id, st.status, CASE WHEN status = 'reused' THEN coalesce(a.seconds, b.seconds) ELSE coalesce(duration_seconds, 0) END AS cost
               FROM st LEFT JOIN a ON a.stage_name = st.stage_name AND a.session_id = st.session_id LEFT JOIN b ON b.stage_name = st.stage_name)
-        SELECT run_id, CASE WHEN bool_and(cost IS NOT NULL) THEN sum(cost) END AS cold_equivalent_seconds, bool_and(cost IS NOT NULL) AS complete, count(*) FILTER (status = 'reused') AS replaced_stages FROM x GROUP BY run_id""",
+        SELECT run_id, CASE WHEN bool_and(cost IS NOT NULL) THEN sum(round(cost * 1e6)::BIGINT) / 1e6 END AS cold_equivalent_seconds, bool_and(cost IS NOT NULL) AS complete, count(*) FILTER (status = 'reused') AS replaced_stages FROM x GROUP BY run_id""",
     "oldest_cold_run": f"""WITH {_ST}, runs AS (SELECT session_id, run_id, min(started_at) AS began, bool_or(status = 'reused') AS warm FROM st GROUP BY ALL),
         cold AS (SELECT session_id, arg_min(run_id, (began, run_id)) AS cold_run FROM runs WHERE NOT warm GROUP BY 1),
         l AS (SELECT session_id, cold_run, stage_name, max(duration_seconds) FILTER (run_id = cold_run) AS mine, max(duration_seconds) AS longest FROM st JOIN cold USING (session_id) WHERE status IN ('executed', 'failed') GROUP BY ALL)
