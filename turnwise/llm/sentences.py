@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -93,19 +94,24 @@ class Gap:
     seed: float
 
 
-def _class(word: str) -> str:
-    ch = word[:1]
-    if not ch:
-        return "-"
+_NO_MARK_CHAR, _UNSPACED_CHAR = regex.compile(rf"[{_NO_MARKS}]"), regex.compile(rf"[{_UNSPACED}]")
+
+
+@lru_cache(maxsize=1 << 16)
+def _char_class(ch: str) -> str:
     if ch.isdigit():
         return "d"
-    if regex.match(rf"[{_NO_MARKS}]", ch):
+    if _NO_MARK_CHAR.match(ch):
         return "t"
-    if regex.match(rf"[{_UNSPACED}]", ch):
+    if _UNSPACED_CHAR.match(ch):
         return "h"
     return "l" if ch.islower() else "u" if ch.isupper() or ch.istitle() else "o"
 
 
+def _class(word: str) -> str:
+    return _char_class(word[0]) if word else "-"
+
+
 def _shape(word: str) -> str:
     return f"{_class(word)}{min(len(word), 5)}{'.' if '.' in word else ''}"
 
