@@ -42,6 +42,13 @@ def test_modes_by_hand():
     assert sg.continues("we saw that the", "curve changes") and not sg.continues("We saw it all there.", "curve changes")
 
 
+def test_weak_singletons_join_their_neighbours():
+    weak, full = ("s", "w", 0.0, 1.0, "Hm."), ("s", "f", 2.0, 3.0, "One clear sentence about waves.")
+    names = lambda segs: ["".join(u[1] for u in s) for s, _ in sg.without_weak_singletons(segs)]
+    assert names([([weak], "gap"), ([full, full], "gap"), ([weak], "gap"), ([full], "end")]) == ["wffw", "f"]
+    assert names([([weak], "end")]) == ["w"] and names([]) == [] and names([([weak], "gap"), ([weak], "end")]) == ["ww"]
+
+
 def test_snapping(spark):
     def brute(ends, targets):
         out, taken = [], -1

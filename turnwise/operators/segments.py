@@ -134,6 +134,28 @@ def adaptive(units: Sequence[Unit]) -> Iterator[tuple[list[Unit], str]]:
             j += 1
 
 
+def without_weak_singletons(segments: Iterable[tuple[list[Unit], str]]) -> Iterator[tuple[list[Unit], str]]:
+    """Segments in which a single weak unit joins the segment before it or, at the start, the one behind it."""
+    held: tuple[list[Unit], str] | None = None
+    first_weak: list[Unit] = []
+    for units, reason in segments:
+        weak = len(units) == 1 and is_weak(units[0][4])
+        if held is None:
+            if weak and not first_weak:
+                first_weak = units
+                continue
+            held, first_weak = (first_weak + units, reason), []
+        elif weak:
+            held = (held[0] + units, reason)
+        else:
+            yield held
+            held = (units, reason)
+    if held is not None:
+        yield held
+    elif first_weak:
+        yield first_weak, "end"
+
+
 MODES: dict[str, Callable[[Sequence[Unit]], Iterator[tuple[list[Unit], str]]]] = {"structural": structural, "windowed": windows, "adaptive": adaptive}
 
 _OUT = pa.schema(
@@ -143,8 +165,8 @@ _OUT = pa.schema(
 _OUT_DDL = "source string, stretch bigint, segment_no int, start_seconds double, end_seconds double, units int, first_unit string, last_unit string, text_length int, closing_reason string"
 
 
-def _folded(mode: str):
-    fold = MODES[mode]
+def _folded(mode: str, keep_singletons: bool):
+    fold = MODES[mode] if keep_singletons else lambda units: without_weak_singletons(MODES[mode](units))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(6))))
@@ -162,9 +184,11 @@ def _folded(mode: str):
     return run
 
 
-def segment_units(df: DataFrame, mode: str, source: str = "audio_source_id", unit: str = "unit_id", start: str = "start_seconds", end: str = "end_seconds", text: str = "text") -> DataFrame:
+def segment_units(df: DataFrame, mode: str, source: str = "audio_source_id", unit: str = "unit_id", start: str = "start_seconds", end: str = "end_seconds", text: str = "text", keep_singletons: bool = True) -> DataFrame:
     """Segments of every source in one mode: times, units, text length and closing reason.
 
+    With `keep_singletons` off, a segment of one weak unit joins its neighbour in the same stretch.
+
     Stretches between silences over HARD_GAP (for windows and adaptive segments too: no segment spans one) are folded
     on their own. Units without text or times are left out; ends before starts count as the starts.
     """
@@ -174,7 +198,7 @@ def segment_units(df: DataFrame, mode: str, source: str = "audio_source_id", uni
     far = (F.col("reach").isNull() | (F.col("s") - F.col("reach") > HARD_GAP)).cast("bigint")
     cut = windowed(seen.withColumn("far", far), ["source"], ["s", "e", "unit"], {"stretch": ("sum", F.col("far"))})
     sorted_ = cut.select("source", "unit", "s", "e", "text", "stretch").repartition("source", "stretch").sortWithinPartitions("source", "stretch", "s", "e", "unit")
-    return sorted_.mapInArrow(_folded(mode), _OUT_DDL)
+    return sorted_.mapInArrow(_folded(mode, keep_singletons), _OUT_DDL)
 
 
 def all_modes(df: DataFrame, **columns: str) -> DataFrame:
