@@ -32,6 +32,41 @@ def test_structural_folds_agree_with_one_pass(spark):
         assert covered == len(rows)  # windows without overlap take each unit once
 
 
+def brute_windows(u):
+    out, i = [], 0
+    while i < len(u):
+        j = next((j for j in range(i + 1, len(u)) if u[j][2] >= u[i][2] + sg.WINDOW_SECONDS), len(u))
+        out.append(u[i:j])
+        i = j
+    return out
+
+
+def brute_adaptive(u):
+    out, i = [], 0
+    while i < len(u):
+        end = len(u) - 1
+        for j in range(i, len(u)):
+            seconds, length = u[j][3] - u[i][2], len(" ".join(x[4] for x in u[i : j + 1]))
+            if seconds >= sg.TARGET_SECONDS or length >= sg.TARGET_TEXT:
+                scores = {e: sg.boundary_score(" ".join(x[4] for x in u[i : e + 1]), u[e], u[e + 1] if e + 1 < len(u) else None) for e in range(max(i, j - sg.LOOKBACK + 1), j + 1)}
+                best = max(scores, key=lambda e: (scores[e], e))
+                if scores[best] >= sg.LEAST_SCORE or seconds >= sg.LIMIT_SECONDS or length >= sg.LIMIT_TEXT:
+                    end = best
+                    break
+        out.append(u[i : end + 1])
+        i = end + 1
+    return out
+
+
+def test_windows_and_adaptive_segments_run_on_over_silences(spark):
+    rows = units(random.Random(4), 300)
+    df = spark.createDataFrame(rows, "audio_source_id string, unit_id string, start_seconds double, end_seconds double, text string")
+    for mode, brute in (("windowed", brute_windows), ("adaptive", brute_adaptive)):
+        want = [(s, k, seg[0][1], seg[-1][1], len(seg)) for s in ("s1", "s2") for k, seg in enumerate(brute(sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[3], r[1]))))]
+        got = [(r["source"], r["segment_no"], r["first_unit"], r["last_unit"], r["units"]) for r in sg.segment_units(df, mode).collect()]
+        assert sorted(got) == want
+
+
 def test_modes_by_hand():
     u = [("s", str(i), i * 10.0, i * 10.0 + 9, "One clear sentence about waves.") for i in range(20)]
     assert [len(s) for s, _ in sg.windows(u)] == [6, 6, 6, 2]

@@ -1,14 +1,15 @@
 """Topic segments of a source's units: structural, windowed and adaptive.
 
 Limits count from a segment's own start, so each mode is a fold over the ordered units. Silences longer than
-`HARD_GAP` always close a structural segment; they cut a source into stretches that are folded in parallel. The folds
-stream through sorted partitions and hold one open segment at a time.
+`HARD_GAP` always close a structural segment; they cut a source into stretches that are folded in parallel. Windows and
+adaptive segments run on over silences, so each source is one stretch there. The folds stream through sorted partitions
+and hold one open segment at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
-from itertools import groupby
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,20 +82,22 @@ def structural(units: Iterable[Unit]) -> Iterator[tuple[list[Unit], str]]:
         yield open_, "end"
 
 
-def windows(units: Sequence[Unit], seconds: float = WINDOW_SECONDS, overlap: float = WINDOW_OVERLAP, least: int = WINDOW_MIN_UNITS) -> Iterator[tuple[list[Unit], str]]:
+def windows(units: Iterable[Unit], seconds: float = WINDOW_SECONDS, overlap: float = WINDOW_OVERLAP, least: int = WINDOW_MIN_UNITS) -> Iterator[tuple[list[Unit], str]]:
     """Windows anchored at a unit's start; the next anchor is the first unit `seconds - overlap` later."""
-    i = 0
-    while i < len(units):
-        j = i
-        while j < len(units) and (units[j][2] < units[i][2] + seconds or j - i < least):
-            j += 1
-        yield list(units[i:j]), "window"
-        if j >= len(units):
+    rest = iter(units)
+    held = list(islice(rest, 1))
+    while held:
+        n, anchor = 0, held[0][2]
+        while True:
+            if n == len(held):
+                held += islice(rest, 1)
+            if n == len(held) or (n >= least and held[n][2] >= anchor + seconds):
+                break
+            n += 1
+        yield held[:n], "window"
+        if n == len(held):
             return
-        k = i + 1
-        while k < len(units) and units[k][2] < units[i][2] + seconds - overlap:
-            k += 1
-        i = k
+        held = held[next((k for k in range(1, n) if held[k][2] >= anchor + (seconds - overlap)), n) :]
 
 
 def boundary_score(text: str, last: Unit, following: Unit | None) -> float:
@@ -110,27 +113,29 @@ def boundary_score(text: str, last: Unit, following: Unit | None) -> float:
     return score
 
 
-def adaptive(units: Sequence[Unit]) -> Iterator[tuple[list[Unit], str]]:
+def adaptive(units: Iterable[Unit]) -> Iterator[tuple[list[Unit], str]]:
     """Segments that end at the best of the last few units once a target is reached, and at any rate at a limit."""
-    i, n = 0, len(units)
-    while i < n:
-        j, length = i, 0
+    rest = iter(units)
+    held = list(islice(rest, 1))
+    while held:
+        j, length = 0, 0
         while True:
-            length += len(units[j][4]) + (1 if j > i else 0)
-            seconds = units[j][3] - units[i][2]
+            if j + 1 == len(held):
+                held += islice(rest, 1)  # the unit behind j tells how well a segment ends at j
+            length += len(held[j][4]) + (1 if j else 0)
+            seconds = held[j][3] - held[0][2]
             limit = "duration" if seconds >= LIMIT_SECONDS else "text" if length >= LIMIT_TEXT else None
             if limit or seconds >= TARGET_SECONDS or length >= TARGET_TEXT:
-                ends = range(max(i, j - LOOKBACK + 1), j + 1)
-                scored = [(boundary_score(" ".join(u[4] for u in units[i : e + 1]), units[e], units[e + 1] if e + 1 < n else None), e) for e in ends]
+                ends = range(max(0, j - LOOKBACK + 1), j + 1)
+                scored = [(boundary_score(" ".join(u[4] for u in held[: e + 1]), held[e], held[e + 1] if e + 1 < len(held) else None), e) for e in ends]
                 best = max(scored, key=lambda x: (x[0], x[1]))
                 if best[0] >= LEAST_SCORE or limit:
-                    yield list(units[i : best[1] + 1]), "adaptive_boundary" if best[0] >= LEAST_SCORE else f"adaptive_hard_max_{limit}"
-                    i = best[1] + 1
+                    yield held[: best[1] + 1], "adaptive_boundary" if best[0] >= LEAST_SCORE else f"adaptive_hard_max_{limit}"
+                    held = held[best[1] + 1 :]
                     break
-            if j + 1 >= n:
-                yield list(units[i:]), "end"
-                i = n
-                break
+            if j + 1 == len(held):
+                yield held, "end"
+                return
             j += 1
 
 
@@ -156,7 +161,7 @@ def without_weak_singletons(segments: Iterable[tuple[list[Unit], str]]) -> Itera
         yield first_weak, "end"
 
 
-MODES: dict[str, Callable[[Sequence[Unit]], Iterator[tuple[list[Unit], str]]]] = {"structural": structural, "windowed": windows, "adaptive": adaptive}
+MODES: dict[str, Callable[[Iterable[Unit]], Iterator[tuple[list[Unit], str]]]] = {"structural": structural, "windowed": windows, "adaptive": adaptive}
 
 _OUT = pa.schema(
     [("source", pa.string()), ("stretch", pa.int64()), ("segment_no", pa.int32()), ("start_seconds", pa.float64()), ("end_seconds", pa.float64()), ("units", pa.int32()), ("first_unit", pa.string()),
@@ -172,8 +177,7 @@ def _folded(mode: str, keep_singletons: bool):
         rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(6))))
         out: list[tuple] = []
         for (source, stretch), units in groupby(rows, key=lambda r: (r[0], r[5])):
-            part: Iterable[Unit] = (r[:5] for r in units)
-            for k, (seg, reason) in enumerate(fold(part if mode == "structural" else list(part))):
+            for k, (seg, reason) in enumerate(fold(r[:5] for r in units)):
                 out.append((source, stretch, k, seg[0][2], max(u[3] for u in seg), len(seg), seg[0][1], seg[-1][1], sum(len(u[4]) for u in seg) + len(seg) - 1, reason))
                 if len(out) >= 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _OUT)], schema=_OUT)
@@ -189,15 +193,18 @@ def segment_units(df: DataFrame, mode: str, source: str = "audio_source_id", uni
 
     With `keep_singletons` off, a segment of one weak unit joins its neighbour in the same stretch.
 
-    Stretches between silences over HARD_GAP (for windows and adaptive segments too: no segment spans one) are folded
-    on their own. Units without text or times are left out; ends before starts count as the starts.
+    In structural mode stretches between silences over HARD_GAP are folded on their own, in the other modes whole
+    sources. Units without text or times are left out; ends before starts count as the starts.
     """
     rows = df.select(F.col(source).alias("source"), F.col(unit).alias("unit"), F.col(start).alias("s"), F.greatest(start, end).alias("e"), F.col(text).alias("text"))
     rows = rows.filter("s is not null and e is not null and trim(text) != ''")
-    seen = windowed(rows, ["source"], ["s", "e", "unit"], {"reach": ("max_before", F.col("e"))})
-    far = (F.col("reach").isNull() | (F.col("s") - F.col("reach") > HARD_GAP)).cast("bigint")
-    cut = windowed(seen.withColumn("far", far), ["source"], ["s", "e", "unit"], {"stretch": ("sum", F.col("far"))})
-    sorted_ = cut.select("source", "unit", "s", "e", "text", "stretch").repartition("source", "stretch").sortWithinPartitions("source", "stretch", "s", "e", "unit")
+    cut = rows.withColumn("stretch", F.lit(1).cast("bigint"))
+    if mode == "structural":
+        seen = windowed(rows, ["source"], ["s", "e", "unit"], {"reach": ("max_before", F.col("e"))})
+        far = (F.col("reach").isNull() | (F.col("s") - F.col("reach") > HARD_GAP)).cast("bigint")
+        cut = windowed(seen.withColumn("far", far), ["source"], ["s", "e", "unit"], {"stretch": ("sum", F.col("far"))})
+    keys = ["source", "stretch"] if mode == "structural" else ["source"]
+    sorted_ = cut.select("source", "unit", "s", "e", "text", "stretch").repartition(*keys).sortWithinPartitions(*keys, "s", "e", "unit")
     return sorted_.mapInArrow(_folded(mode, keep_singletons), _OUT_DDL)
 
 
