@@ -67,6 +67,14 @@ def test_windows_and_adaptive_segments_run_on_over_silences(spark):
         assert sorted(got) == want
 
 
+def test_silences_close_structural_segments_as_in_one_pass(spark):
+    rows = units(random.Random(5), 300) + [("s3", "a", 0.0, 1.0, "One clear sentence about waves."), ("s3", "b", 40.0, 95.0, "One more sentence about waves."), ("s3", "c", 110.0, 111.0, "x" * 700), ("s3", "d", 120.0, 121.0, "y" * 120)]
+    df = spark.createDataFrame(rows, "audio_source_id string, unit_id string, start_seconds double, end_seconds double, text string")
+    want = [(s, k, seg[0][1], seg[-1][1], reason) for s in ("s1", "s2", "s3") for k, (seg, reason) in enumerate(sg.structural(sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[3], r[1]))))]
+    got = [(r["source"], r["segment_no"], r["first_unit"], r["last_unit"], r["closing_reason"]) for r in sg.segment_units(df, "structural").collect()]
+    assert sorted(got) == want and [w[4] for w in want[-4:]] == ["max_duration", "gap", "max_text_length", "end"]
+
+
 def test_modes_by_hand():
     u = [("s", str(i), i * 10.0, i * 10.0 + 9, "One clear sentence about waves.") for i in range(20)]
     assert [len(s) for s, _ in sg.windows(u)] == [6, 6, 6, 2]

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions import lexical as lx
-from turnwise.operators.ordering import windowed
+from turnwise.operators.ordering import grouped_running, windowed
+from turnwise.session import staged
 
 SOFT_GAP, HARD_GAP = 2.0, 7.0
 MAX_SECONDS, MAX_TEXT = 90.0, 800
@@ -171,13 +172,15 @@ _OUT_DDL = "source string, stretch bigint, segment_no int, start_seconds double,
 
 
 def _folded(mode: str, keep_singletons: bool):
-    fold = MODES[mode] if keep_singletons else lambda units: without_weak_singletons(MODES[mode](units))
+    def fold(units: Iterable[tuple]) -> Iterator[tuple[list[tuple], str]]:
+        own = (x for x in MODES[mode](units) if not x[0][0][6])  # the unit behind a silence only closes the segment before it
+        return own if keep_singletons else without_weak_singletons(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(6))))
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(7))))
         out: list[tuple] = []
         for (source, stretch), units in groupby(rows, key=lambda r: (r[0], r[5])):
-            for k, (seg, reason) in enumerate(fold(r[:5] for r in units)):
+            for k, (seg, reason) in enumerate(fold(units)):
                 out.append((source, stretch, k, seg[0][2], max(u[3] for u in seg), len(seg), seg[0][1], seg[-1][1], sum(len(u[4]) for u in seg) + len(seg) - 1, reason))
                 if len(out) >= 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _OUT)], schema=_OUT)
@@ -189,23 +192,28 @@ def _folded(mode: str, keep_singletons: bool):
 
 
 def segment_units(df: DataFrame, mode: str, source: str = "audio_source_id", unit: str = "unit_id", start: str = "start_seconds", end: str = "end_seconds", text: str = "text", keep_singletons: bool = True) -> DataFrame:
-    """Segments of every source in one mode: times, units, text length and closing reason.
+    """Segments of every source in one mode: number in the source, times, units, text length and closing reason.
 
     With `keep_singletons` off, a segment of one weak unit joins its neighbour in the same stretch.
 
-    In structural mode stretches between silences over HARD_GAP are folded on their own, in the other modes whole
-    sources. Units without text or times are left out; ends before starts count as the starts.
+    In structural mode stretches between silences over HARD_GAP are folded on their own, each with the unit behind it,
+    which decides why the last segment closes; in the other modes whole sources are folded. Units without text or times are left out; ends before starts count as the starts.
     """
     rows = df.select(F.col(source).alias("source"), F.col(unit).alias("unit"), F.col(start).alias("s"), F.greatest(start, end).alias("e"), F.col(text).alias("text"))
     rows = rows.filter("s is not null and e is not null and trim(text) != ''")
-    cut = rows.withColumn("stretch", F.lit(1).cast("bigint"))
+    cut = rows.withColumn("stretch", F.lit(1).cast("bigint")).withColumn("beyond", F.lit(False))
     if mode == "structural":
         seen = windowed(rows, ["source"], ["s", "e", "unit"], {"reach": ("max_before", F.col("e"))})
         far = (F.col("reach").isNull() | (F.col("s") - F.col("reach") > HARD_GAP)).cast("bigint")
-        cut = windowed(seen.withColumn("far", far), ["source"], ["s", "e", "unit"], {"stretch": ("sum", F.col("far"))})
+        cut = windowed(seen.withColumn("far", far), ["source"], ["s", "e", "unit"], {"own": ("sum", F.col("far"))})
+        both = F.when((F.col("far") == 1) & (F.col("own") > 1), F.array(F.col("own") - 1, "own")).otherwise(F.array("own"))
+        cut = cut.withColumn("stretch", F.explode(both)).withColumn("beyond", F.col("stretch") < F.col("own"))
     keys = ["source", "stretch"] if mode == "structural" else ["source"]
-    sorted_ = cut.select("source", "unit", "s", "e", "text", "stretch").repartition(*keys).sortWithinPartitions(*keys, "s", "e", "unit")
-    return sorted_.mapInArrow(_folded(mode, keep_singletons), _OUT_DDL)
+    sorted_ = cut.select("source", "unit", "s", "e", "text", "stretch", "beyond").repartition(*keys).sortWithinPartitions(*keys, "s", "e", "unit")
+    out = sorted_.mapInArrow(_folded(mode, keep_singletons), _OUT_DDL)
+    if mode == "structural":
+        out = grouped_running(staged(out), ["source"], ["stretch", "segment_no"], name="_nth").withColumn("segment_no", (F.col("_nth") - 1).cast("int")).drop("_nth")
+    return out
 
 
 def all_modes(df: DataFrame, **columns: str) -> DataFrame:
