@@ -56,6 +56,12 @@ def test_rescue_is_capped(spark):
     assert sorted(out) == [f"{i:03d}" for i in range(0, 16, 2)]
 
 
+def test_only_checked_pairs_use_up_the_checks(spark):
+    df = spark.createDataFrame([("s", f"{i:03d}", i >= 50, i >= 52 and i % 2 == 0) for i in range(120)], "s string, i string, soft boolean, ok boolean")
+    out = lambda checks: sorted(r["i"] for r in sm.rescued(df, "s", "i", F.col("ok"), most_checks=checks, checked=F.col("soft")).filter("rescued").collect())
+    assert out(40) == [f"{i:03d}" for i in range(52, 68, 2)] and out(6) == ["052", "054"]
+
+
 def test_answer_windows_stop(spark):
     q = spark.createDataFrame([("s", "q1", 0.0, 10.0), ("s", "q2", 21.0, 22.0), ("t", "q3", 0.0, 1.0)], "source string, question_id string, q_start double, q_end double")
     u = spark.createDataFrame([("s", "u1", 2.0, 3.0, "a"), ("s", "u2", 11.0, 12.0, "b"), ("s", "u3", 13.0, 14.0, "c"), ("s", "u4", 23.0, 24.0, "d"), ("s", "u5", 80.0, 81.0, "e"), ("t", "u6", 60.0, 61.0, "f")], "source string, unit_id string, u_start double, u_end double, text string")

@@ -78,9 +78,12 @@ def voice_check(df: DataFrame, similarity: Column, question_seconds: Column, ans
     return out.withColumn("voice_penalty", F.when(F.col("voice") == "same", ramp).otherwise(0.0)).withColumn("voice_bonus", F.when(F.col("voice") == "different", VOICE_BONUS).otherwise(0.0))
 
 
-def rescued(df: DataFrame, session: str, order: str, eligible: Column, most_checks: int = 40, most_rescues: int = 8) -> DataFrame:
-    """Adds `rescued`: eligible suppressed pairs in order, as long as the session's checks and rescues last."""
-    rows = df.withColumn("_e", eligible)
+def rescued(df: DataFrame, session: str, order: str, eligible: Column, most_checks: int = 40, most_rescues: int = 8, checked: Column | None = None) -> DataFrame:
+    """Adds `rescued`: eligible suppressed pairs in order, as long as the session's checks and rescues last.
+
+    Only pairs in `checked` (by default the eligible ones) cost a check; `eligible` ones are among them.
+    """
+    rows = df.withColumn("_e", eligible).withColumn("_k", eligible if checked is None else checked)
     seen = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_c", F.count(F.lit(1)).over(seen)).withColumn("_r", F.sum(F.when(F.col("_e") & (F.col("_c") <= most_checks), 1).otherwise(0)).over(seen))
-    return rows.withColumn("rescued", F.col("_e") & (F.col("_c") <= most_checks) & (F.col("_r") <= most_rescues)).drop("_e", "_c", "_r")
+    rows = rows.withColumn("_c", F.count(F.when(F.col("_k"), 1)).over(seen)).withColumn("_r", F.sum(F.when(F.col("_e") & (F.col("_c") <= most_checks), 1).otherwise(0)).over(seen))
+    return rows.withColumn("rescued", F.col("_e") & (F.col("_c") <= most_checks) & (F.col("_r") <= most_rescues)).drop("_e", "_k", "_c", "_r")

@@ -117,8 +117,9 @@ def qa_gate(spark, sf):
 
 def speaker_rescue(spark, sf):
     gated = _gated(spark, sf).filter("not emitted")
-    eligible = F.coalesce(F.col("similarity_score") <= sm.DIFFERENT_VOICE, F.lit(False)) & F.col("suppressed_by").isin("below_min_confidence", "weak_boundary")
-    return sm.rescued(gated, "session_id", "qa_candidate_id", eligible).select("qa_candidate_id", "rescued")
+    soft = F.col("suppressed_by").isin("below_min_confidence", "weak_boundary")
+    eligible = F.coalesce(F.col("similarity_score") <= sm.DIFFERENT_VOICE, F.lit(False)) & soft
+    return sm.rescued(gated, "session_id", "qa_candidate_id", eligible, checked=soft).select("qa_candidate_id", "rescued")
 
 
 def qa_coverage(spark, sf):
