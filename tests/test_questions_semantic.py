@@ -31,6 +31,16 @@ def test_dedupe_streams_like_the_whole(spark):
     assert got == want and len(got) == len(rows) and any(not k for _, k, _ in got)
 
 
+def test_echo_pairs_keep_the_question_that_does_not_echo(spark):
+    first, echo = ("How does pressure change the curve?", "sensor filter reduces noise data"), ("Does sensor filter reduces noise?", "sensor filter reduces data chapter")
+    after = ("The sensor filter reduces noise. Why?", echo[1])
+    cases = {"a": (first, echo, 60.0), "b": (echo, first, 60.0), "c": (first, after, 60.0), "d": (first, echo, 91.0)}
+    rows = [(s, s + str(i), [0.0, t][i], *pair, 0.5, None) for s, (*pairs, t) in cases.items() for i, pair in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "source string, item string, at double, q string, a string, c double, f array<string>")
+    got = {r["item"]: r["replaced_by"] for r in qs.without_near_duplicates(df, "source", "item", "at", "q", "a", "c", "f").collect()}
+    assert got == {"a0": None, "a1": "a0", "b0": "b1", "b1": None, "c0": None, "c1": None, "d0": None, "d1": None}
+
+
 def test_cosine_top_is_exact(spark, monkeypatch):
     monkeypatch.setattr(sm, "BLOCK_ROWS", 40)
     rng = np.random.default_rng(2)

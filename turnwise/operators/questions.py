@@ -247,37 +247,64 @@ def _ratio(a: list[str] | None, b: list[str] | None) -> float:
 
 
 def _dedupe(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Decisions over rows (source, item, at, q, a, confidence, flags, length) in order: of near-duplicates the better
-    stays (confidence, fewer flags, longer), in the place of the first."""
+    """Decisions over rows (source, item, at, q, a, confidence, flags, length, follow-up, noise) in order.
+
+    A row that makes an echo pair with the last kept one (answers alike, one question in the other's answer) is settled
+    first: the one whose question echoes less stays. Of near-duplicates the better stays (confidence, fewer flags,
+    longer). The one that stays takes the place of the first; the last two fields may be missing.
+    """
     kept: list[tuple] = []
     for r in rows:
-        while kept and r[2] - kept[0][2] > NEAR_SECONDS:
-            yield kept[0][0], kept[0][1], True, None
-            kept.pop(0)
-        twin = next((i for i, k in enumerate(kept) if (q := _ratio(k[3], r[3])) >= 0.72 and ((a := _ratio(k[4], r[4])) >= 0.50 or (q >= 0.86 and a >= 0.35))), None)
+        near = lambda k: r[2] - k[2] <= NEAR_SECONDS  # noqa: B023, E731
+        for k in kept[:-1]:
+            if not near(k):
+                yield k[0], k[1], True, None
+        kept = [k for k in kept[:-1] if near(k)] + kept[-1:]
+        twin, wins = None, False
+        if kept and near(kept[-1]) and not any(x[8:9] == (True,) for x in (r, kept[-1])) and _ratio(r[4], kept[-1][4]) >= 0.45:
+            old = kept[-1]
+            new_echo, old_echo = _ratio(r[3], old[4]), _ratio(old[3], r[4])
+            if max(new_echo, old_echo) >= 0.55:
+                worth = lambda x: (-(x[9] if len(x) > 9 else 0), x[5] or 0.0, x[7] or 0)
+                twin, wins = len(kept) - 1, new_echo < old_echo if abs(new_echo - old_echo) >= 0.05 else worth(r) >= worth(old)
+        if twin is None:
+            twin = next((i for i in reversed(range(len(kept))) if near(k := kept[i]) and (q := _ratio(k[3], r[3])) >= 0.72 and ((a := _ratio(k[4], r[4])) >= 0.50 or (q >= 0.86 and a >= 0.35))), None)
+            wins = twin is not None and (r[5] or 0.0, -(r[6] or 0), r[7] or 0) > (kept[twin][5] or 0.0, -(kept[twin][6] or 0), kept[twin][7] or 0)
         if twin is None:
             kept.append(r)
+        elif wins:
+            old, kept[twin] = kept[twin], r
+            yield old[0], old[1], False, r[1]
         else:
-            old = kept[twin]
-            if (r[5] or 0.0, -(r[6] or 0), r[7] or 0) > (old[5] or 0.0, -(old[6] or 0), old[7] or 0):
-                kept[twin] = (*r[:2], old[2], *r[3:])
-                yield old[0], old[1], False, r[1]
-            else:
-                yield r[0], r[1], False, old[1]
+            yield r[0], r[1], False, kept[twin][1]
     for k in kept:
         yield k[0], k[1], True, None
 
 
-def without_near_duplicates(df: DataFrame, source: str, item: str, at: str, question: str, answer: str, confidence: str, flags: str) -> DataFrame:
+def followed_up(question: Column) -> Column:
+    """Whether a question is context plus a short question of its own."""
+    spans = F.filter(F.transform(F.regexp_extract_all(question, F.lit(r"[^.?!]+[.?!]?"), F.lit(0)), F.trim), lambda x: x != "")
+    last = F.element_at(spans, -1)
+    rule = lx.rule_text(last)
+    bare = F.regexp_replace(rule, r"^(?:(?:allora|cioe|e|ma|ok)[,;:]* ){0,2}", "")
+    head = F.regexp_extract(bare, r"^([a-z0-9_]+)", 1).isin(*lx.INTERROGATIVES, *AUXILIARIES) | F.regexp_extract(bare, r"^([a-z0-9_']+)", 1).isin(*lx.INTERROGATIVES, *AUXILIARIES)
+    head = head | bare.rlike(r"\b(?:che|cosa|what)[ ?.!]*$") & (F.size(lx.rule_tokens(bare)) >= 2) | bare.rlike(r"^(?:(?:can|could|would) you (?:tell|explain|describe|show)|(?:puoi|potresti|puo) (?:spiegare|spiegarci|spiegarmi|dire|dirci))\b")
+    return F.coalesce((F.size(spans) >= 2) & last.endswith("?") & (F.size(lx.rule_tokens(rule)) <= 4) & head, F.lit(False))
+
+
+def without_near_duplicates(df: DataFrame, source: str, item: str, at: str, question: str, answer: str, confidence: str, flags: str, reasons: str | None = None) -> DataFrame:
     """(source, item, kept, replaced_by): one pass in time order over every stretch of a source.
 
     A silence over NEAR_SECONDS between questions parts a source into stretches that cannot affect each other; they are
     folded in parallel, streaming through sorted partitions with only the last NEAR_SECONDS in memory.
     """
     toks = lambda c: lx.content_tokens(lx.rule_text(F.col(c)))
+    none = F.array().cast("array<string>")
+    named = F.concat(F.coalesce(F.col(flags), none), F.coalesce(F.col(reasons), none) if reasons else none)
+    noise = F.size(F.filter(named, lambda x: x.rlike("backchannel|boilerplate|truncated|incomplete|thin_answer|answer_poll")))
     rows = df.filter(F.col(at).isNotNull()).select(
         F.col(source).alias("source"), F.col(item).alias("item"), F.col(at).alias("at"), toks(question).alias("q"), toks(answer).alias("a"), F.col(confidence).alias("c"),
-        F.coalesce(F.size(flags), F.lit(0)).alias("f"), F.length(answer).alias("n"),
+        F.coalesce(F.size(flags), F.lit(0)).alias("f"), F.size(lx.rule_tokens(lx.rule_text(F.col(answer)))).alias("n"), followed_up(F.col(question)).alias("u"), noise.alias("z"),
     )
     seen = windowed(rows, ["source"], ["at", "item"], {"_prev": ("lag", F.col("at"))})
     far = (F.col("_prev").isNull() | (F.col("at") - F.col("_prev") > NEAR_SECONDS)).cast("bigint")
@@ -287,7 +314,7 @@ def without_near_duplicates(df: DataFrame, source: str, item: str, at: str, ques
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         out: list[tuple] = []
-        for _, part in groupby(rows, key=lambda r: (r[0], r[8])):
+        for _, part in groupby(rows, key=lambda r: (r[0], r[10])):
             out += _dedupe(iter(part))
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _KEPT)], schema=_KEPT)
@@ -295,7 +322,7 @@ def without_near_duplicates(df: DataFrame, source: str, item: str, at: str, ques
         cols = list(zip(*out)) if out else [[]] * len(_KEPT)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _KEPT)], schema=_KEPT)
 
-    picked = sorted_.select("source", "item", "at", "q", "a", "c", "f", "n", "stretch")
+    picked = sorted_.select("source", "item", "at", "q", "a", "c", "f", "n", "u", "z", "stretch")
     return picked.mapInArrow(run, "source string, item string, kept boolean, replaced_by string")
 
 

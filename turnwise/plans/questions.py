@@ -135,7 +135,7 @@ def near_duplicate_pairs(spark, sf):
 
 
 def near_duplicate_decisions(spark, sf):
-    return qs.without_near_duplicates(_qa(spark, sf).withColumn("at", F.col("question_timing.start_seconds")), *_NEAR, "confidence", "review_flags")
+    return qs.without_near_duplicates(_qa(spark, sf).withColumn("at", F.col("question_timing.start_seconds")), *_NEAR, "confidence", "review_flags", "reason_codes")
 
 
 def semantic_topk(spark, sf):
