@@ -12,8 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.operators.joins import keyed_join
+from turnwise.session import staged
 
 MANTISSA = 4096
+#: Rows of one bucket from which it is divided by ranges of the whole order.
+HOT_ROWS = 1_000_000
+#: Estimated bytes of input (the optimizer's figure) from which hot buckets are looked for at all.
+LOOK_FROM = 64 << 20
 
 
 def value_bucket(value: Column, mantissa: int = MANTISSA) -> Column:
@@ -31,6 +36,32 @@ def value_bucket(value: Column, mantissa: int = MANTISSA) -> Column:
     return F.when(v.isNull(), None).when((v < 0) & ~F.isnan(v), -key).otherwise(key).cast("bigint")
 
 
+def _divided(cut: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], hot_rows: int | None) -> DataFrame:
+    """Adds `_ord_part`: 0, and in buckets of over `hot_rows` rows, such as those of one repeated value, the number of a
+    range of the whole order, so that no bucket is one task whatever the ties.
+
+    Ranges come from Spark's range partitioning over (keys, bucket, order), written once so that they stay fixed. Where
+    no bucket is hot, which one small aggregation tells, nothing is moved.
+    """
+    plain = cut.withColumn("_ord_part", F.lit(0))
+    if hot_rows is None:
+        if int(cut._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < LOOK_FROM:
+            return plain
+        hot_rows = HOT_ROWS
+    named = [F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)]
+    hot = staged(cut.groupBy(*named, F.col(bucket).alias("_hot_b")).agg(F.count(F.lit(1)).alias("_hot_n")).filter(F.col("_hot_n") > hot_rows))
+    total = hot.agg(F.sum("_hot_n")).first()[0]
+    if not total:
+        return plain
+    same = F.col(bucket).eqNullSafe(F.col("_hot_b"))
+    for i, k in enumerate(keys):
+        same = same & cut[k].eqNullSafe(F.col(f"_hot_{i}"))
+    parts = int(min(20_000, max(2, -(-total // max(1, hot_rows // 2)))))
+    ranged = cut.join(hot, same, "left_semi").repartitionByRange(parts, *keys, bucket, *order)
+    divided = staged(ranged.withColumn("_ord_part", F.spark_partition_id() + 1))
+    return cut.join(hot, same, "left_anti").withColumn("_ord_part", F.lit(0)).unionByName(divided)
+
+
 def grouped_running(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,26 +70,28 @@ def grouped_running(
     name: str = "rank",
     bucket: Column | None = None,
     mantissa: int = MANTISSA,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Adds the running sum of `weight` (1 if not given: the rank) inside each `keys` group in `order`, ascending.
 
     `order[0]` must be numeric and not null unless `bucket` is given, which must never fall along `order`. Ties of all
     `order` columns are broken arbitrarily, so pass enough columns. Rows with null keys keep a group of their own.
-    An empty input gives an empty output. Existing columns called like the helper columns (`_ord_*`) are not allowed.
+    An empty input gives an empty output. Buckets of more than `hot_rows` rows (by default HOT_ROWS, looked for in inputs
+    of LOOK_FROM bytes or more) are divided by ranges of the whole order. Existing columns called like the helper columns (`_ord_*`) are not allowed.
     """
     w = F.lit(1).cast("bigint") if weight is None else weight
     cut = df.withColumn("_ord_bucket", value_bucket(F.col(order[0]), mantissa) if bucket is None else bucket)
-    cut = cut.withColumn("_ord_weight", w)
+    cut = _divided(cut.withColumn("_ord_weight", w), keys, "_ord_bucket", order, hot_rows)
     keyed = [F.col(k).alias(f"_ord_{i}") for i, k in enumerate(keys)]
-    sums = cut.groupBy(*keyed, F.col("_ord_bucket").alias("_ord_b")).agg(F.sum("_ord_weight").alias("_ord_sum"))
-    before = Window.partitionBy(*[f"_ord_{i}" for i in range(len(keys))]).orderBy("_ord_b")
+    sums = cut.groupBy(*keyed, F.col("_ord_bucket").alias("_ord_b"), F.col("_ord_part").alias("_ord_p")).agg(F.sum("_ord_weight").alias("_ord_sum"))
+    before = Window.partitionBy(*[f"_ord_{i}" for i in range(len(keys))]).orderBy("_ord_b", "_ord_p").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("_ord_before", F.sum("_ord_sum").over(before) - F.col("_ord_sum")).drop("_ord_sum")
-    same = F.col("_ord_bucket") == F.col("_ord_b")
+    same = (F.col("_ord_bucket") == F.col("_ord_b")) & (F.col("_ord_part") == F.col("_ord_p"))
     for i, k in enumerate(keys):
         same = same & cut[k].eqNullSafe(F.col(f"_ord_{i}"))
-    inside = Window.partitionBy(*keys, "_ord_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_ord_bucket", "_ord_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = cut.join(sums, same).withColumn(name, F.col("_ord_before") + F.sum("_ord_weight").over(inside))
-    return out.drop("_ord_bucket", "_ord_weight", "_ord_b", "_ord_before", *[f"_ord_{i}" for i in range(len(keys))])
+    return out.drop("_ord_bucket", "_ord_weight", "_ord_part", "_ord_b", "_ord_p", "_ord_before", *[f"_ord_{i}" for i in range(len(keys))])
 
 
 def paired_boundaries(
@@ -70,19 +103,21 @@ def paired_boundaries(
     return a.join(b, [*keys, "_pair_rank"]).drop("_pair_rank")
 
 
-def windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, tuple[str, Column]], bucket: Column | None = None, mantissa: int = MANTISSA) -> DataFrame:
+def windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, tuple[str, Column]], bucket: Column | None = None, mantissa: int = MANTISSA, hot_rows: int | None = None) -> DataFrame:
     """Window columns over groups of any size; `cols` maps names to (kind, column).
 
     Kinds: `sum` and `max` up to the row itself, `sum_before` and `max_before` without it, `last_before` the last
     value that is not null before it, `lag` and `lead` the neighbours' values. As in `grouped_running`, rows are
     ordered inside value buckets, and one small row per bucket carries the group's state from bucket to bucket. Nulls
-    of `order[0]` need a `bucket`. Ties of all `order` columns are broken arbitrarily.
+    of `order[0]` need a `bucket`. Ties of all `order` columns are broken arbitrarily. Hot buckets are divided as in
+    `grouped_running`.
     """
     cut = df.withColumn("_win_bucket", value_bucket(F.col(order[0]), mantissa) if bucket is None else bucket)
     wrap = {"lag", "lead", "last_before"}
     for name, (kind, col) in cols.items():
         value = F.struct(col.alias("v"))
         cut = cut.withColumn(f"_win_{name}", F.when(col.isNotNull(), value) if kind == "last_before" else value if kind in wrap else col)
+    cut = _divided(cut, keys, "_win_bucket", order, hot_rows)
     place = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
     summary = []
     for name, (kind, _) in cols.items():
@@ -96,17 +131,17 @@ def windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dic
         else:
             summary.append(F.max_by(c, F.when(c.isNotNull(), place)).alias(f"_sum_{name}"))
     names = [f"_key_{i}" for i in range(len(keys))]
-    small = cut.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_win_bucket").alias("_b")).agg(*summary)
-    past = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    coming = Window.partitionBy(*names).orderBy("_b")
+    small = cut.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_win_bucket").alias("_b"), F.col("_ord_part").alias("_p")).agg(*summary)
+    past = Window.partitionBy(*names).orderBy("_b", "_p").rowsBetween(Window.unboundedPreceding, -1)
+    coming = Window.partitionBy(*names).orderBy("_b", "_p")
     for name, (kind, _) in cols.items():
         c = F.col(f"_sum_{name}")
         carried = F.sum(c).over(past) if kind.startswith("sum") else F.max(c).over(past) if kind.startswith("max") else F.lead(c).over(coming) if kind == "lead" else F.last(c, ignorenulls=True).over(past)
         small = small.withColumn(f"_carry_{name}", carried)
-    same = F.col("_win_bucket").eqNullSafe(F.col("_b"))
+    same = F.col("_win_bucket").eqNullSafe(F.col("_b")) & (F.col("_ord_part") == F.col("_p"))
     for k, n in zip(keys, names):
         same = same & cut[k].eqNullSafe(F.col(n))
-    inside = Window.partitionBy(*keys, "_win_bucket").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_win_bucket", "_ord_part").orderBy(*order)
     upto, before = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
     out = cut.join(small.drop(*[f"_sum_{n}" for n in cols]), same)
     for name, (kind, _) in cols.items():
@@ -123,7 +158,7 @@ def windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dic
         else:
             made = F.coalesce(F.last(c, ignorenulls=True).over(before), carry)["v"]
         out = out.withColumn(name, made)
-    gone = ["_win_bucket", "_b", *names, *[f"_win_{n}" for n in cols], *[f"_carry_{n}" for n in cols]]
+    gone = ["_win_bucket", "_ord_part", "_b", "_p", *names, *[f"_win_{n}" for n in cols], *[f"_carry_{n}" for n in cols]]
     return out.drop(*gone)
 
 
