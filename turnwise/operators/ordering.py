@@ -17,7 +17,7 @@ from turnwise.session import staged
 MANTISSA = 4096
 #: Rows of one bucket from which it is divided by ranges of the whole order.
 HOT_ROWS = 1_000_000
-#: Estimated bytes of input (the optimizer's figure) from which hot buckets are looked for at all.
+#: Bytes of the files read (the optimizer's figure) from which hot buckets are looked for at all.
 LOOK_FROM = 64 << 20
 
 
@@ -36,7 +36,12 @@ def value_bucket(value: Column, mantissa: int = MANTISSA) -> Column:
     return F.when(v.isNull(), None).when((v < 0) & ~F.isnan(v), -key).otherwise(key).cast("bigint")
 
 
-def _divided(cut: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], hot_rows: int | None) -> DataFrame:
+def _read_bytes(df: DataFrame) -> int:
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def divided_buckets(cut: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """Adds `_ord_part`: 0, and in buckets of over `hot_rows` rows, such as those of one repeated value, the number of a
     range of the whole order, so that no bucket is one task whatever the ties.
 
@@ -44,10 +49,9 @@ def _divided(cut: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[s
     no bucket is hot, which one small aggregation tells, nothing is moved.
     """
     plain = cut.withColumn("_ord_part", F.lit(0))
-    if hot_rows is None:
-        if int(cut._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < LOOK_FROM:
-            return plain
-        hot_rows = HOT_ROWS
+    if _read_bytes(cut) < LOOK_FROM:
+        return plain
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     named = [F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)]
     hot = staged(cut.groupBy(*named, F.col(bucket).alias("_hot_b")).agg(F.count(F.lit(1)).alias("_hot_n")).filter(F.col("_hot_n") > hot_rows))
     total = hot.agg(F.sum("_hot_n")).first()[0]
@@ -81,7 +85,7 @@ def grouped_running(
     """
     w = F.lit(1).cast("bigint") if weight is None else weight
     cut = df.withColumn("_ord_bucket", value_bucket(F.col(order[0]), mantissa) if bucket is None else bucket)
-    cut = _divided(cut.withColumn("_ord_weight", w), keys, "_ord_bucket", order, hot_rows)
+    cut = divided_buckets(cut.withColumn("_ord_weight", w), keys, "_ord_bucket", order, hot_rows)
     keyed = [F.col(k).alias(f"_ord_{i}") for i, k in enumerate(keys)]
     sums = cut.groupBy(*keyed, F.col("_ord_bucket").alias("_ord_b"), F.col("_ord_part").alias("_ord_p")).agg(F.sum("_ord_weight").alias("_ord_sum"))
     before = Window.partitionBy(*[f"_ord_{i}" for i in range(len(keys))]).orderBy("_ord_b", "_ord_p").rowsBetween(Window.unboundedPreceding, 0)
@@ -117,7 +121,7 @@ def windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dic
     for name, (kind, col) in cols.items():
         value = F.struct(col.alias("v"))
         cut = cut.withColumn(f"_win_{name}", F.when(col.isNotNull(), value) if kind == "last_before" else value if kind in wrap else col)
-    cut = _divided(cut, keys, "_win_bucket", order, hot_rows)
+    cut = divided_buckets(cut, keys, "_win_bucket", order, hot_rows)
     place = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
     summary = []
     for name, (kind, _) in cols.items():
