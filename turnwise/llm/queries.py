@@ -70,7 +70,8 @@ def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_turns(spark, sf_dir).select("audio_source_id", "speaker_no", "start_ms", "end_ms").distinct()
+    turns = speaker_turns(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "transcript_chunks"), with_text=False)
+    return turns.select("audio_source_id", "speaker_no", "start_ms", "end_ms").distinct()
 
 
 def _limit(spark: SparkSession, sf_dir: str, purpose: str) -> tuple[int, int]:
