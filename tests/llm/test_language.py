@@ -29,13 +29,14 @@ def test_identify(spark):
         ("a", "it", SAMPLES["it"][1]), ("b", None, SAMPLES["en"][1]), ("c", "de", SAMPLES["ru"][2]), ("d", "ITA", mixed),
         ("e", "en", ""), ("f", "en", None), ("g", "en", "[music] uhm"), ("h", "zh", SAMPLES["zh"][0]), ("i", "en", "12 345"),
         ("j", "en", SAMPLES["en"][2] + ": «ponte chiuso»"), ("b", None, SAMPLES["en"][1]), ("k", "auto", "il ponte " * 40000), (None, "ru", SAMPLES["it"][2]),
+        ("l", "en", "ჭერი კარი"),
     ]
     df = spark.createDataFrame(rows, "id string, lab string, body string")
     df = df.selectExpr("id", "lab", "body", "1 as text", "2 as lang", "3 as record_id")
     got = {(r["record_id"], r["lang"]) for r in identify_languages(df, "id", "lab", "body", filters(), cases_only=True).collect()}
-    assert got == {("b", "en"), ("c", "ru"), ("d", "it"), ("d", "en"), ("k", "it"), (None, "it")}
+    assert got == {("b", "en"), ("c", "ru"), ("d", "it"), ("d", "en"), ("k", "it"), (None, "it"), ("l", "und")}
     every = identify_languages(df, "id", "lab", "body", filters()).collect()
-    assert {r["record_id"] for r in every} == {"a", "b", "c", "d", "h", "j", "k", None} and all(0 < r["confidence"] <= 1 for r in every)
+    assert {r["record_id"] for r in every} == {"a", "b", "c", "d", "h", "j", "k", "l", None} and all((r["confidence"] == 0) == (r["lang"] == "und") and r["confidence"] <= 1 for r in every)
     assert identify_languages(df.limit(0), "id", "lab", "body", filters()).count() == 0
 
 
@@ -53,3 +54,15 @@ def test_held_out_accuracy(spark):
     labelled = {r["chunk_id"]: label_lang(r["detected_language"]) for r in df.collect()}
     known = [r for r in out if labelled[r["record_id"]]]
     assert sum(labelled[r["record_id"]] == r["lang"] for r in known) > 0.8 * len(known)  # a tenth of the labels are wrong
+
+
+def test_the_sample_is_bounded_and_moved_alone(spark):
+    from turnwise.llm import language
+
+    rows = [("it", SAMPLES["it"][0])] * 3000 + [(lang, f"{t} {i}") for lang, ts in SAMPLES.items() for t in ts for i in range(100)]
+    df = spark.createDataFrame(rows, "l string, t string").repartition(8)
+    f = language.language_filters(df, "l", "t", max_rows=200)
+    who = language.Identifier(f)
+    assert [language.LANGS[i] for i in who.main([SAMPLES["it"][0], SAMPLES["en"][1], SAMPLES["ru"][0]])[0]] == ["it", "en", "ru"]
+    h = df.withColumn("h", language.F.xxhash64("l", "t"))
+    assert h.filter(language.F.pmod("h", language.F.lit(1 << 30)) < int((1 << 30) * 1.1 * 200 / 1201)).select("h").distinct().count() < 330

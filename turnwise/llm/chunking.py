@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,8 @@ from turnwise.llm.tokens import VOCABULARY, count_tokens, token_offsets
 PENALTIES = (0.0, 0.05, 0.1, 0.6, 1.2, 5.0)
 #: Weight of the squared relative difference from the even piece size.
 IMBALANCE = 1.0
-#: Distance of possible cuts inside stretches without any boundary.
-STRIDE = 16
+#: Tokens of a block of the bounds that rule positions out.
+BLOCK = 32
 #: Cells up to which the dynamic program runs by layers; beyond it, position by position.
 TABLE_CELLS = 4_000_000
 #: Tokens below the limit from which a piece cut between words needs no second count.
@@ -89,9 +89,9 @@ def _layered(at: np.ndarray, start: np.ndarray, penalty: np.ndarray, low: np.nda
     return cuts[::-1]
 
 
-def cut_positions(levels: np.ndarray, limit: int, overlap: int) -> np.ndarray:
-    """Token positions that may be cut, in order: ends of paragraphs, lines and sentences, and, only inside stretches
-    too long for a piece, the next finer boundaries; inside unbroken stretches every STRIDE tokens."""
+def coarse_positions(levels: np.ndarray, limit: int, overlap: int) -> np.ndarray:
+    """Positions that give a first, good cutting: ends of paragraphs, lines and sentences, and finer boundaries, some of
+    them only, inside stretches too long for a piece."""
     n = len(levels) - 1
     step = max(1, limit - overlap - 4)
     at = np.flatnonzero(levels <= 2)
@@ -104,29 +104,69 @@ def cut_positions(levels: np.ndarray, limit: int, overlap: int) -> np.ndarray:
         for k in wide:
             inner = np.flatnonzero(levels[edges[k] + 1 : edges[k + 1]] <= finest) + edges[k] + 1
             if finest == 5:
-                cells = inner // min(STRIDE, max(1, step // 4))
+                cells = inner // min(16, max(1, step // 4))
                 inner = inner[np.concatenate([[True], np.diff(cells) > 0])] if len(inner) else inner
             more.append(inner)
         at = np.unique(np.concatenate([at, *more]))
     return at[(at > overlap) & (at < n)]
 
 
-def best_cuts(levels: np.ndarray, limit: int, overlap: int) -> list[int] | None:
-    """Token positions of the cuts that cost least, as found by dynamic programming; None if no cutting is possible.
+_PENALTY = np.array([*PENALTIES, *[np.inf] * 4])
+
+
+def _even(n: int, limit: int, overlap: int) -> tuple[int, float]:
+    pieces = -(-(n - overlap) // (limit - overlap))
+    return pieces, (n + (pieces - 1) * overlap) / pieces
+
+
+def cutting_cost(levels: np.ndarray, cuts: Sequence[int], limit: int, overlap: int) -> float:
+    """Sum of the cuts' penalties and of the pieces' squared relative differences from the even size."""
+    n = len(levels) - 1
+    even = _even(n, limit, overlap)[1]
+    starts = [0, *[piece_start(levels, int(c), overlap) for c in cuts]]
+    return sum(float(_PENALTY[levels[c]]) for c in cuts) + sum(IMBALANCE * ((b - a - even) / even) ** 2 for a, b in zip(starts, [*cuts, n]))
 
-    A piece runs from `piece_start` of the previous cut to the next cut and holds at most `limit` tokens. The cost of a
-    cutting is the sum of its cuts' penalties and of the pieces' squared relative deviations from the even size; cuts
-    lie on `cut_positions`.
+
+def possible_positions(levels: np.ndarray, limit: int, overlap: int, most: float) -> np.ndarray:
+    """All positions that may lie in a cutting which costs at most `most`.
+
+    Blocks of BLOCK positions take the least penalty of their members, and two blocks the least difference from the even
+    size of any two of their positions: forward and backward dynamic programs over blocks so bound from below what a
+    cutting through a position costs. Only positions whose bound exceeds `most` are left out.
     """
     n = len(levels) - 1
-    if n <= limit:
-        return []
-    step = limit - overlap
-    pieces = -(-(n - overlap) // step)
-    even = (n + (pieces - 1) * overlap) / pieces
-    at = np.concatenate([cut_positions(levels, limit, overlap), [n]])
+    even = _even(n, limit, overlap)[1]
+    blocks = n // BLOCK + 1
+    cost = _PENALTY[levels]
+    cost[: overlap + 1] = np.inf
+    cost[n] = np.inf
+    least = np.minimum.reduceat(cost, np.arange(0, n + 1, BLOCK))
+    reach = (limit + overlap) // BLOCK + 2
+    gap = np.arange(1, reach + 1) * BLOCK
+    lo, hi = gap - (BLOCK - 1) + overlap, gap + (BLOCK - 1) + overlap + 3
+    off = np.where(lo > limit, np.inf, IMBALANCE * (np.maximum(0, np.maximum(lo - even, even - np.minimum(hi, limit))) / even) ** 2)
+    edge = np.arange(blocks) * BLOCK
+    first = np.where(edge > limit, np.inf, IMBALANCE * (np.maximum(0, np.maximum(edge - even, even - np.minimum(edge + BLOCK - 1, limit))) / even) ** 2)
+    left = n - edge + overlap  # size of a last piece behind a cut in the block, at most three more
+    last = np.where(left - BLOCK + 1 > limit, np.inf, IMBALANCE * (np.maximum(0, np.maximum(left - BLOCK + 1 - even, even - np.minimum(left + 3, limit))) / even) ** 2)
+    ahead, back = first.copy(), last.copy()  # without the penalty of the block's own cut
+    for j in range(1, blocks):
+        k = min(reach, j)
+        ahead[j] = min(ahead[j], float((ahead[j - k : j][::-1] + least[j - k : j][::-1] + off[:k]).min()))
+    for j in range(blocks - 2, -1, -1):
+        k = min(reach, blocks - 1 - j)
+        back[j] = min(back[j], float((back[j + 1 : j + 1 + k] + least[j + 1 : j + 1 + k] + off[:k]).min()))
+    bound = np.repeat(ahead + back, BLOCK)[: n + 1] + cost
+    return np.flatnonzero(bound <= most + 1e-9)
+
+
+def _cheapest(levels: np.ndarray, at: np.ndarray, limit: int, overlap: int) -> list[int] | None:
+    """The cheapest cutting with cuts among the positions `at`; None if there is none."""
+    n = len(levels) - 1
+    pieces, even = _even(n, limit, overlap)
+    at = np.concatenate([at, [n]])
     start = np.array([piece_start(levels, int(c), overlap) for c in at])
-    penalty = np.array([*PENALTIES, *[np.inf] * 4])[levels[at]]
+    penalty = _PENALTY[levels[at]]
     penalty[-1] = 0.0
     low = np.searchsorted(start, at - limit)
     width = int((np.arange(len(at)) - low).max(initial=0))
@@ -151,11 +191,29 @@ def best_cuts(levels: np.ndarray, limit: int, overlap: int) -> list[int] | None:
     return cuts[::-1]
 
 
+def best_cuts(levels: np.ndarray, limit: int, overlap: int) -> list[int] | None:
+    """Token positions of the cuts that cost least over all positions, by dynamic programming; None if there are none.
+
+    A piece runs from `piece_start` of the previous cut to the next cut and holds at most `limit` tokens. The cost is
+    `cutting_cost`. A first cutting on coarse positions gives a cost that the best does not exceed; the program then
+    runs over every position that a cutting so cheap may have.
+    """
+    n = len(levels) - 1
+    if n <= limit:
+        return []
+    first = _cheapest(levels, coarse_positions(levels, limit, overlap), limit, overlap)
+    if first is None:
+        every = np.flatnonzero(levels <= 5)
+        return _cheapest(levels, every[(every > overlap) & (every < n)], limit, overlap)
+    return _cheapest(levels, possible_positions(levels, limit, overlap, cutting_cost(levels, first, limit, overlap)), limit, overlap)
+
+
 def cut_text(text: str, limit: int, overlap: int, path: str = VOCABULARY) -> list[tuple[int, int, int, int]]:
     """(first token, last token, start char, end char) of each piece; one piece if the text is within the limit.
 
     Pieces that are near the limit or part words are measured again on their own; should one exceed the limit so, the
-    whole text is cut with a lower one.
+    whole text is cut with a lower one. A text that cannot be cut so (a limit of a few tokens, which one character may
+    exceed) gets its best cutting by tokens all the same.
     """
     offsets = token_offsets(text, path)
     n = len(offsets) - 1
@@ -163,7 +221,7 @@ def cut_text(text: str, limit: int, overlap: int, path: str = VOCABULARY) -> lis
         return [(0, n, 0, len(text))]
     levels = cut_levels(text, offsets)
     for room in (0, 2, 8, 32, limit // 4):
-        cuts = best_cuts(levels, limit - room, overlap)
+        cuts = best_cuts(levels, limit - room, overlap) if limit - room > overlap else None
         if cuts is None:
             continue
         starts = [0, *[piece_start(levels, c, overlap) for c in cuts]]
@@ -172,7 +230,9 @@ def cut_text(text: str, limit: int, overlap: int, path: str = VOCABULARY) -> lis
         near = [(a, b) for x, y, a, b in out if y - x > limit - ROOM or levels[x] == 5 or levels[y] == 5]
         if all(count_tokens(text[a:b], path) <= limit for a, b in near):
             return out
-    raise ValueError(f"no cutting into pieces of {limit} tokens with {overlap} shared")
+    starts = [p * (limit - overlap) for p in range(-(-(n - overlap) // (limit - overlap)))]
+    spans = [(piece_start(levels, a, 0), piece_start(levels, min(a + limit, n), 0) if a + limit < n else n) for a in starts]
+    return [(a, b, int(offsets[a]), int(offsets[b])) for a, b in spans if b > a]
 
 
 _PIECES = pa.schema(
@@ -188,7 +248,8 @@ def split_oversized(df: DataFrame, item_id: str, text: str, limit: int, overlap:
     three more only where the shared part would begin inside a character.
 
     Defined results: null and empty texts have no rows; rows of one item and text that repeat count once; texts without
-    natural boundaries are cut at words, then inside words, never inside a character; very long texts are read whole;
+    natural boundaries are cut at words, then inside words, never inside a character; a text that no cutting satisfies
+    is cut every `limit - overlap` tokens, back to the start of a character, and fails no job; very long texts are read whole;
     an empty input gives no rows; other columns are ignored, whatever their names. `overlap` must lie below `limit`.
     """
     if not 0 <= overlap < limit:

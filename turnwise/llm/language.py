@@ -18,6 +18,8 @@ from turnwise.llm.lexicon import FILLER_WORDS, LANGS, label_lang, spoken_words
 
 #: Labelled rows to fit on, at most: the documented bound of the classifier's sample.
 FIT_ROWS = 20_000
+#: Language of words that no filter knows.
+UNKNOWN = "und"
 SLOTS = 1 << 20
 HASHES = 3
 #: Words kept in a worker's memory between texts.
@@ -55,7 +57,6 @@ class LanguageFilters:
 
     words: np.ndarray
     grams: np.ndarray
-    known: np.ndarray  #: words that are too even or too rare to tell languages apart are known but carry no bit
     false: np.ndarray = field(default=None)  # type: ignore[assignment]
 
     def __post_init__(self) -> None:
@@ -74,7 +75,7 @@ class LanguageFilters:
     @staticmethod
     def from_bytes(raw: bytes) -> LanguageFilters:
         both = np.frombuffer(raw, np.uint16)
-        return LanguageFilters(both[:SLOTS], both[SLOTS:], both[:0])
+        return LanguageFilters(both[:SLOTS], both[SLOTS:])
 
 
 def _units(text: str) -> list[str]:
@@ -137,7 +138,7 @@ def fit_filters(labelled: list[tuple[str, str]]) -> LanguageFilters:
         m = int(sum(1 << i for i in range(n) if rate[i] >= rate.max() / 5))
         for s in _slots(g):
             grams[s] |= m
-    return LanguageFilters(words, grams, words[:0])
+    return LanguageFilters(words, grams)
 
 
 def _fit_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +147,18 @@ def _fit_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def language_filters(df: DataFrame, label: str, text: str, max_rows: int = FIT_ROWS) -> LanguageFilters:
-    """Filters fitted on a sample of at most about `max_rows` labelled rows, chosen by a hash of the text.
+    """Filters fitted on a sample of at most `max_rows` distinct (label, text) rows, chosen by their hash.
 
-    The sample is fitted in one task; what reaches the driver has a fixed size.
+    Hashes are compared before anything moves, so only about the sample is shuffled, copies of a text count once, and
+    the bound holds whatever repeats. The sample is fitted in one task; what reaches the driver has a fixed size.
     """
     rows = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("l"), F.col(text).alias("t"))
-    n = max(1, rows.count())
-    if n > max_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int((1 << 30) * (max_rows / n)))
-    raw = rows.coalesce(1).mapInArrow(_fit_arrow, "raw binary").collect()
+    rows = rows.withColumn("h", F.xxhash64("l", "t"))
+    n = max(1, rows.agg(F.approx_count_distinct("h", 0.02)).first()[0])
+    if n * 1.1 > max_rows:  # a tenth more than wanted are let through, and the limit below cuts to the bound
+        rows = rows.filter(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * max_rows / n)))
+    sample = rows.dropDuplicates(["h"]).orderBy("h").limit(max_rows).select("l", "t")
+    raw = sample.repartition(1).mapInArrow(_fit_arrow, "raw binary").collect()
     return LanguageFilters.from_bytes(raw[0][0]) if raw else fit_filters([])
 
 
@@ -344,7 +348,7 @@ def _identify(shared, cases_only: bool):
             ids, labels, texts = (b.column(i).to_pylist() for i in range(3))
             named = [label_lang(x) for x in labels]
             best, sure, words, others = who.main(texts, named)
-            rows = []
+            rows = [(ids[d], UNKNOWN, 0.0, 0, int(math.ceil(words[d])) - 1, True, False) for d in np.flatnonzero((best < 0) & (words > 0))]
             for d in np.flatnonzero(best >= 0):
                 lang, more = LANGS[best[d]], others.get(int(d), ())
                 fits = named[d] == lang
@@ -368,7 +372,7 @@ def identify_languages(df: DataFrame, record_id: str, label: str, text: str, fil
     that are wholly in the language of their label are left out before anything leaves the worker.
 
     Defined results: null, blank and wordless texts give no rows (hesitation sounds and annotations are no words); a
-    text none of whose words or n-grams is known gives none; on a tie the label's language wins, otherwise the first of
+    text none of whose words or n-grams is known has the language `und` with confidence 0; on a tie the label's language wins, otherwise the first of
     LANGS; repeated rows repeat; very long texts are read whole; other columns are ignored, whatever their names.
     """
     shared = df.sparkSession.sparkContext.broadcast(filters.to_bytes())

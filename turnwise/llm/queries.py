@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm.chunking import split_oversized
-from turnwise.llm.language import LanguageFilters, identify_languages, language_filters
+from turnwise.llm.language import UNKNOWN, LanguageFilters, identify_languages, language_filters
 from turnwise.llm.lexicon import label_lang
 from turnwise.llm.mixing import mix_sources
 from turnwise.llm.packing import pack_items
@@ -35,7 +35,7 @@ def _languages(spark: SparkSession, sf_dir: str, cases_only: bool) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _languages(spark, sf_dir, True).select("record_table", "record_id", "lang").distinct()
+    return _languages(spark, sf_dir, True).filter(F.col("lang") != UNKNOWN).select("record_table", "record_id", "lang").distinct()
 
 
 def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
