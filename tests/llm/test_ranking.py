@@ -42,6 +42,10 @@ def test_against_brute_force(spark):
     want = brute(rows)
     have = {r["item"]: r["projection"] for r in got.collect()}
     assert have.keys() == want.keys() and all(abs(have[i] - want[i]) < 1e-9 for i in want)
+    places = {r["item"]: (r["grp"], r["place"]) for r in got.collect()}
+    for g in ("g1", "g2", None):
+        own = sorted((i for i in rows if rows[i][0] == g), key=lambda i: (-have[i], i))
+        assert [places[i] for i in own] == [(g, k + 1) for k in range(len(own))]
     top = {(r["grp"], r["item"]) for r in best_of(got, "grp", "item", 3).collect()}
     expected = set()
     for g in ("g1", "g2", None):
@@ -54,3 +58,15 @@ def test_empty_and_flat(spark):
     df = spark.createDataFrame([("x", "g", 1.0, None), ("y", "g", 1.0, None)], "item string, grp string, a double, b double")
     assert combined_ranking(df.limit(0), "grp", "item", {"a": 1, "b": -1}).count() == 0
     assert {r["projection"] for r in combined_ranking(df, "grp", "item", {"a": 1, "b": -1}).collect()} == {0.0}
+
+
+def test_a_score_against_its_declaration_is_left_out(spark):
+    from turnwise.llm.ranking import first_component
+
+    rng = random.Random(1)
+    rows = [(x := rng.random() - 0.5, x + rng.random() / 5, -x + rng.random() / 5) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    w = first_component(df, ["a", "b", "c"], [1, 1, 1])
+    assert w[2] == 0 and abs(w[0] - w[1]) < 1e-6 and abs(w[0] ** 2 + w[1] ** 2 - 1) < 1e-9
+    w = first_component(df, ["a", "b", "c"], [1, 1, -1])
+    assert w[0] > 0 and w[1] > 0 and w[2] < 0

@@ -19,7 +19,7 @@ IMBALANCE = 1.0
 #: Tokens of a block of the bounds that rule positions out.
 BLOCK = 32
 #: Cells up to which the dynamic program runs by layers; beyond it, position by position.
-TABLE_CELLS = 4_000_000
+TABLE_CELLS = 60_000
 #: Tokens below the limit from which a piece cut between words needs no second count.
 ROOM = 8
 

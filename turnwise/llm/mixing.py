@@ -10,11 +10,8 @@ from pyspark.sql import functions as F
 from turnwise.operators.ordering import grouped_running
 from turnwise.session import staged
 
-#: Leaves of the budget tree, at most; they are names of sources and languages, not data.
+#: Leaves of the budget tree, at most; they are names of domains, languages and sources, not data.
 LEAVES_MAX = 100_000
-#: Further passes that give what a prefix leaves over to later items: first of the same leaf, then of its siblings.
-#: Passes with a divisor above 1 take items of at most that part of what is left, so that little is left after them.
-_REFILLS = ((["src", "lang"], 8), (["src", "lang"], 1), (["src"], 8), (["src"], 1))
 
 
 def spread(budget: float, weights: Sequence[float], capacities: Sequence[float]) -> list[float]:
@@ -65,87 +62,88 @@ def budgets(paths: Sequence[tuple], weights: dict[tuple, float], capacities: Seq
     return out
 
 
-def mix_sources(df: DataFrame, item_id: str, size: str, source: str, language: str, targets: DataFrame, total: float | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """Items with their number of copies, and the report of shares.
+def whole_budgets(budget: Sequence[float], capacities: Sequence[int]) -> list[int]:
+    """Budgets in whole tokens with the same rounded sum, none above its capacity: largest remainders are raised."""
+    out = [min(int(b), c) for b, c in zip(budget, capacities)]
+    short = round(sum(budget)) - sum(out)
+    for i in sorted(range(len(out)), key=lambda i: (out[i] - budget[i], i)):
+        step = min(1, capacities[i] - out[i], short)
+        if step > 0:
+            out[i] += step
+            short -= step
+    return out
+
+
+def mix_sources(
+    df: DataFrame, item_id: str, size: str, source: str, language: str, targets: DataFrame, total: float | None = None, seed: int = 17, domain: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Items with the tokens that each epoch uses of them, and the report of shares.
 
-    `targets` has (source, target_share, max_repeats). The budget `total`, by default the size of all items of the
-    named sources, goes down a tree of sources and, within each, of languages by their natural shares. A source that
-    cannot fill its budget within `max_repeats` leaves the rest to the other sources by their weights. A leaf's budget
-    is filled by whole epochs and the prefix of one more, in an order drawn from the seed, source, language and epoch;
-    what the prefix leaves over goes to later items of that order that still fit, and what the leaf cannot use to items
-    of its siblings. Prefixes are found by bucketed
-    running sums, never in one task.
+    `targets` has (source, target_share, max_repeats) and may have a column named by `domain`; without it all sources
+    are of one domain. The budget `total`, by default the size of all items of the named sources, goes down a tree of
+    domains, languages and sources. A leaf, one source in one language, weighs its source's share times its part of the
+    source's tokens, an inner node the sum of its leaves. A leaf that cannot fill its budget within `max_repeats` leaves
+    the rest to its siblings, the other sources of its language and domain, by their weights; what those cannot take
+    goes to the other languages of the domain, and then to the other domains, up to the root.
 
-    Returns (item_id, source, language, size, copies) for the items used, and (source, target_share, max_repeats,
-    available, budget, used, actual_share) for every target. Items are used whole, so a source's budget may be missed
-    by less than its smallest unused item.
+    A leaf's budget is filled by whole epochs and the token prefix of one more: its items come in an order drawn from
+    the seed, the leaf and the epoch, and the item at the end of the budget is used in its first tokens only, so that
+    every budget is met to the token. Prefixes are found by bucketed running sums, never in one task.
+
+    Returns (item_id, source, language, size, copies, prefix_tokens) for the items used: `copies` whole uses, and
+    `prefix_tokens` of one more use cut short (0 for all but one item of a leaf); and (source, target_share,
+    max_repeats, available, budget, used, actual_share) for every target.
 
     Defined results: items of null sources, or of sources without a target, are left aside; a null language is a
-    language; null sizes count as zero; rows of one item that repeat count once; a source without items, or of share 0,
-    uses nothing; shares are scaled to sum to 1; max_repeats below 1 or null counts as 0; empty inputs give empty
-    results or zeros; other columns are ignored, whatever their names.
+    language; null and negative sizes count as zero, and such items come with the epochs they lie in; rows of one item
+    that repeat count once; a source without items, or of share 0, uses nothing; shares are scaled to sum to 1;
+    max_repeats below 1 or null counts as 0; empty inputs give empty results or zeros; other columns are ignored,
+    whatever their names.
     """
-    named = targets.select(F.col("source").alias("src"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("most")).filter("src is not null").dropDuplicates(["src"])
+    above = F.coalesce(F.col(domain).cast("string"), F.lit("")) if domain else F.lit("")
+    named = targets.select(F.col("source").alias("src"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("most"), above.alias("dom")).filter("src is not null").dropDuplicates(["src"])
     goal = named.limit(LEAVES_MAX + 1).collect()
     if len(goal) > LEAVES_MAX:
         raise ValueError("too many sources for one budget tree")
     kind = df.schema[item_id].dataType
     items = df.select(F.struct(F.col(item_id).alias("id")).alias("item"), F.col(source).alias("src"), F.coalesce(F.col(language), F.lit("")).alias("lang"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("n"))
-    items = staged(items.filter(F.col("src").isin([g["src"] for g in goal])).dropDuplicates(["item"]))
+    items = staged(items.join(F.broadcast(named.select("src")), "src", "left_semi").dropDuplicates(["item"]))  # bounded by LEAVES_MAX
     leaves = items.groupBy("src", "lang").agg(F.sum("n").alias("n")).limit(LEAVES_MAX + 1).collect()
     if len(leaves) > LEAVES_MAX:
         raise ValueError("too many leaves for one budget tree")
     shares = {g["src"]: max(0.0, g["share"] or 0.0) for g in goal}
     most = {g["src"]: max(0, g["most"] or 0) for g in goal}
+    dom = {g["src"]: g["dom"] for g in goal}
     leaves = sorted(leaves, key=lambda r: (r["src"], r["lang"]))
-    paths = [(r["src"], r["lang"]) for r in leaves]
-    weights = {(s,): w for s, w in shares.items()} | {p: float(r["n"]) for p, r in zip(paths, leaves)}
-    caps = [float(r["n"] * most[r["src"]]) if shares[r["src"]] > 0 else 0.0 for r in leaves]
-    available = sum(r["n"] for r in leaves)
-    spent = budgets(paths, weights, caps, float(available if total is None else total))
+    have: dict[str, int] = {}
+    for r in leaves:
+        have[r["src"]] = have.get(r["src"], 0) + r["n"]
+    paths = [(dom[r["src"]], r["lang"], r["src"]) for r in leaves]
+    weights: dict[tuple, float] = {}
+    for p, r in zip(paths, leaves):
+        for depth in range(1, 4):
+            weights[p[:depth]] = weights.get(p[:depth], 0.0) + shares[r["src"]] * r["n"] / max(1, have[r["src"]])
+    caps = [r["n"] * most[r["src"]] if shares[r["src"]] > 0 else 0 for r in leaves]
+    spent = whole_budgets(budgets(paths, weights, [float(c) for c in caps], float(sum(have.values()) if total is None else total)), caps)
     plan = []
     for r, b in zip(leaves, spent):
-        n = r["n"]
-        whole = min(int((b + 1e-6) // n), most[r["src"]]) if n else 0
-        plan.append((r["src"], r["lang"], float(b), whole, int(b - whole * n + 1e-6) if n and whole < most[r["src"]] else -1))
+        whole = min(b // r["n"], most[r["src"]]) if r["n"] else 0
+        plan.append((r["src"], r["lang"], int(whole), int(b - whole * r["n"])))
     spark = df.sparkSession
-    leaf = spark.createDataFrame(plan, "src string, lang string, budget double, whole int, prefix bigint")
+    leaf = spark.createDataFrame(plan, "src string, lang string, whole int, prefix bigint")
     drawn = items.join(F.broadcast(leaf), ["src", "lang"])  # bounded by LEAVES_MAX
     drawn = drawn.withColumn("draw", F.shiftrightunsigned(F.xxhash64("item.id", "src", "lang", "whole", F.lit(seed)), 1))
     drawn = grouped_running(drawn, ["src", "lang"], ["draw", "item"], F.col("n"), name="reach", bucket=F.shiftright("draw", 51))
-    drawn = staged(drawn.select("item", "src", "lang", "n", "whole", "draw", "prefix", (F.col("reach") <= F.col("prefix")).alias("in_prefix")))
-    # what the prefix leaves over before the item that would exceed it goes to later items of the order that still fit
-    extra = drawn.filter("in_prefix").select("item", "src", "lang", "n")
-    left = {(p[0], p[1]): max(p[4], 0) for p in plan}
-    rest = drawn.filter(~F.col("in_prefix") & (F.col("prefix") >= 0)).select("item", "src", "lang", "n", "draw")
-    part = extra
-    for k, (level, share) in enumerate((*_REFILLS, (None, 0))):
-        for r in part.groupBy("src", "lang").agg(F.sum("n").alias("n")).collect():
-            left[r["src"], r["lang"]] -= r["n"]
-        if level is None:
-            break
-        if level == ["src"]:  # siblings make up what a leaf could not fill
-            rooms: dict[str, int] = {}
-            for (s, _), v in left.items():
-                rooms[s] = rooms.get(s, 0) + v
-            room = spark.createDataFrame([(s, v) for s, v in rooms.items() if v > 0], "src string, room bigint")
-        else:
-            room = spark.createDataFrame([(s, g, v) for (s, g), v in left.items() if v > 0], "src string, lang string, room bigint")
-        fits = rest.join(F.broadcast(room), level).filter((F.col("n") > 0) & (F.col("n") <= F.col("room") / share))
-        fits = grouped_running(fits, level, ["draw", "item"], F.col("n"), name="reach", bucket=F.shiftright("draw", 51))
-        part = staged(fits.filter("reach <= room").select("item", "src", "lang", "n"))
-        extra = extra.unionByName(part)
-        rest = rest.join(part.select("item"), "item", "left_anti")
-    copied = drawn.select("item", "src", "lang", "n", F.col("whole").alias("copies")).unionByName(extra.withColumn("copies", F.lit(1)))
-    used = staged(copied.groupBy("item", "src", "lang", "n").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0"))
-    taken = {r["src"]: r["used"] for r in used.groupBy("src").agg(F.sum(F.col("n") * F.col("copies")).alias("used")).collect()}  # one row per target at most
-    have: dict[str, int] = {}
-    planned: dict[str, float] = {}
+    fits = (F.col("reach") <= F.col("prefix")) & (F.col("n") > 0)
+    cut = F.greatest(F.lit(0), F.when(F.col("reach") > F.col("prefix"), F.col("prefix") - (F.col("reach") - F.col("n"))).otherwise(F.lit(0)))
+    drawn = drawn.withColumn("copies", F.col("whole") + fits.cast("int")).withColumn("cut", cut.cast("bigint"))
+    used = staged(drawn.filter("copies > 0 or cut > 0").select("item", "src", "lang", "n", "copies", "cut"))
+    taken = {r["src"]: r["used"] for r in used.groupBy("src").agg(F.sum(F.col("n") * F.col("copies") + F.col("cut")).alias("used")).collect()}  # one row per target at most
+    planned: dict[str, int] = {}
     for r, b in zip(leaves, spent):
-        have[r["src"]] = have.get(r["src"], 0) + r["n"]
-        planned[r["src"]] = planned.get(r["src"], 0.0) + b
+        planned[r["src"]] = planned.get(r["src"], 0) + b
     whole_share, everything = sum(shares.values()) or 1.0, sum(taken.values()) or 1
-    rows = [(s, shares[s] / whole_share, most[s], have.get(s, 0), planned.get(s, 0.0), taken.get(s, 0), taken.get(s, 0) / everything) for s in sorted(shares)]
+    rows = [(s, shares[s] / whole_share, most[s], have.get(s, 0), float(planned.get(s, 0)), taken.get(s, 0), taken.get(s, 0) / everything) for s in sorted(shares)]
     report = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, available bigint, budget double, used bigint, actual_share double")
-    out = used.select(F.col("item.id").cast(kind).alias(item_id), F.col("src").alias("source"), F.col("lang").alias("language"), F.col("n").alias("size"), "copies")
+    out = used.select(F.col("item.id").cast(kind).alias(item_id), F.col("src").alias("source"), F.col("lang").alias("language"), F.col("n").alias("size"), "copies", F.col("cut").alias("prefix_tokens"))
     return out, report

@@ -14,10 +14,12 @@ from turnwise.session import staged
 
 #: Items of a block: islands of one block solve the same items, so this bounds what a task holds.
 BLOCK_ITEMS = 1_000
-ISLANDS = 2
-POPULATION = 6
-GENERATIONS = 8
+ISLANDS = 3
+POPULATION = 8
+GENERATIONS = 25
 EPOCHS = 2
+#: Members of an island that move to the next one between epochs.
+ELITE = 2
 #: Containers filled to this share are kept after a round; the items of the others are packed again with other blocks'.
 KEEP = 0.995
 ROUNDS = 2
@@ -45,9 +47,51 @@ def best_fit(bins: Bins, items: Sequence[int], sizes: Sequence[int], capacity: i
     return bins
 
 
+def refill(bins: Bins, loose: Sequence[int], sizes: Sequence[int], capacity: int) -> Bins:
+    """Puts displaced items back: where one fits better than one or two smaller items of a container, it takes their
+    place and they are displaced instead, which makes full containers fuller; the rest goes best fit."""
+    free = sorted((sizes[i], i) for i in loose)
+    for b in bins:
+        room = capacity - sum(sizes[i] for i in b)
+        if not room or not free:
+            continue
+        best = (0, None, None)
+        own = sorted(b, key=lambda i: sizes[i])
+        pairs = [(i, j) for k, i in enumerate(own[:6]) for j in own[k + 1 : 6]]
+        for out in (*((i,) for i in own), *pairs):
+            held = sum(sizes[i] for i in out)
+            at = bisect_left(free, (held + room + 1, -1)) - 1
+            if at >= 0 and free[at][0] - held > best[0]:
+                best = (free[at][0] - held, out, at)
+        if best[1] is not None:
+            _, i = free.pop(best[2])
+            for j in best[1]:
+                b.remove(j)
+                insort(free, (sizes[j], j))
+            b.append(i)
+    return best_fit(bins, [i for _, i in free], sizes, capacity)
+
+
+def least_bins(sizes: Sequence[int], capacity: int) -> int:
+    """A number of containers that no packing goes below: by volume, and by large items that exclude each other."""
+    s = sorted(sizes, reverse=True)
+    total, n = sum(s), len(s)
+    best = -(-total // capacity)
+    upto = [0]
+    for x in s:
+        upto.append(upto[-1] + x)
+    half = sum(1 for x in s if 2 * x > capacity)
+    for small in {x for x in s if 0 < 2 * x <= capacity}:
+        big = bisect_left(s, -(capacity - small), key=lambda x: -x)  # items over capacity - small stand alone
+        end = n - bisect_left(s[::-1], small)  # items of at least `small`
+        rest = upto[end] - upto[half] - ((half - big) * capacity - (upto[half] - upto[big]))
+        best = max(best, half + max(0, -(-rest // capacity)))
+    return max(best, half)
+
+
 def cross(a: Bins, b: Bins, sizes: Sequence[int], capacity: int, rng: random.Random) -> Bins:
     """A child of `a` with some well-filled containers of `b`: containers of `a` that share an item with them are
-    dissolved, and the displaced items are put back best fit."""
+    dissolved, and the displaced items are put back, first in exchange for smaller ones, then best fit."""
     by_fill = sorted(b, key=lambda x: -sum(sizes[i] for i in x))
     top = by_fill[: max(1, len(by_fill) // 2)]
     injected = rng.sample(top, max(1, len(top) // 2))
@@ -58,20 +102,20 @@ def cross(a: Bins, b: Bins, sizes: Sequence[int], capacity: int, rng: random.Ran
             kept.append(list(x))
         else:
             displaced += [i for i in x if i not in taken]
-    return best_fit(kept + [list(x) for x in injected], displaced, sizes, capacity)
+    return refill(kept + [list(x) for x in injected], displaced, sizes, capacity)
 
 
 def mutate(a: Bins, sizes: Sequence[int], capacity: int, rng: random.Random) -> Bins:
-    """Dissolves the emptiest containers and a few others, and puts their items back best fit."""
+    """Dissolves the emptiest containers and a few others, and puts their items back."""
     order = sorted(range(len(a)), key=lambda k: sum(sizes[i] for i in a[k]))
-    gone = set(order[:2]) | set(rng.sample(order, min(len(order), 2)))
-    return best_fit([list(x) for k, x in enumerate(a) if k not in gone], [i for k in gone for i in a[k]], sizes, capacity)
+    gone = set(order[:2]) | set(rng.sample(order, min(len(order), 4)))
+    return refill([list(x) for k, x in enumerate(a) if k not in gone], [i for k in gone for i in a[k]], sizes, capacity)
 
 
 def evolve(sizes: Sequence[int], capacity: int, population: list[Bins], seed: int, generations: int = GENERATIONS, members: int = POPULATION) -> list[Bins]:
     """One epoch of one island: its population, best first. Stops early where no packing can have fewer containers."""
     rng = random.Random(seed)
-    n, least = len(sizes), -(-sum(sizes) // capacity)
+    n, least = len(sizes), least_bins(sizes, capacity)
     score = lambda x: (-len(x), fitness(x, sizes, capacity))
     people = [[list(b) for b in x] for x in population]
     if len(people) < members:
@@ -120,7 +164,7 @@ def _epoch(capacity: int, seed: int):
                 people = evolve(row["sizes"], capacity, people, seed * 1_000_003 + row["block"] * 31 + row["island"])
                 n = len(row["sizes"])
                 # only the elite leaves the island; the rest of its population is rebuilt in the next epoch
-                yield pa.RecordBatch.from_pylist([{**row, "people": [_places(p, n) for p in people[:2]], "guests": None}], schema=_STATE)
+                yield pa.RecordBatch.from_pylist([{**row, "people": [_places(p, n) for p in people[:ELITE]], "guests": None}], schema=_STATE)
 
     return run
 
@@ -136,7 +180,7 @@ def _packed(items: DataFrame, capacity: int, seed: int) -> DataFrame:
     state = state.repartition(blocks * ISLANDS if blocks * ISLANDS < 4000 else 4000, "block", "island")
     for epoch in range(EPOCHS):
         if epoch:  # the elite of each island moves to the next one of its block
-            guests = state.select("block", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), F.slice("people", 1, 1).alias("guests"))
+            guests = state.select("block", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), F.slice("people", 1, ELITE).alias("guests"))
             state = state.drop("guests").join(guests, ["block", "island"]).select("block", "island", "sizes", "people", "guests")
         state = staged(state.mapInArrow(_epoch(capacity, seed + 7 * epoch), _STATE_DDL))
     used = F.array_max(F.element_at("people", 1))

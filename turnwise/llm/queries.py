@@ -42,14 +42,18 @@ def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir, False).distinct()
 
 
-def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranked(spark: SparkSession, sf_dir: str, with_place: bool) -> DataFrame:
     candidates = table(spark, sf_dir, "qa_candidates").select("audio_source_id", "qa_candidate_id", "similarity_score", "retrieval_score").dropDuplicates(["qa_candidate_id"])
     scores = table(spark, sf_dir, "responsiveness_scores").select("qa_candidate_id", "score").dropDuplicates(["qa_candidate_id"])
-    return combined_ranking(candidates.join(scores, "qa_candidate_id", "left"), "audio_source_id", "qa_candidate_id", {"score": 1, "retrieval_score": 1, "similarity_score": -1})
+    return combined_ranking(candidates.join(scores, "qa_candidate_id", "left"), "audio_source_id", "qa_candidate_id", {"score": 1, "retrieval_score": 1, "similarity_score": -1}, with_place)
+
+
+def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, True)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_of(p1_ranking(spark, sf_dir), "audio_source_id", "qa_candidate_id", 3).select("audio_source_id", "qa_candidate_id")
+    return best_of(_ranked(spark, sf_dir, False), "audio_source_id", "qa_candidate_id", 3).select("audio_source_id", "qa_candidate_id")
 
 
 def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +100,10 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Domains of the sources, the top level of the budget tree.
+_DOMAINS = {"teaching": "lecture seminar tutorial audience_qa", "talk": "interview panel podcast", "notes": "field_notes"}
+
+
 def _language_of(label: Column) -> Column:
     @F.pandas_udf("string")
     def resolved(labels: pd.Series) -> pd.Series:
@@ -106,7 +114,9 @@ def _language_of(label: Column) -> Column:
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sized = _sized(spark, sf_dir).withColumn("language", _language_of(F.col("lang")))
-    return mix_sources(sized, "doc_id", "tokens", "source", "language", table(spark, sf_dir, "mix_targets"))
+    areas = F.create_map(*[F.lit(x) for area, names in _DOMAINS.items() for name in names.split() for x in (name, area)])
+    targets = table(spark, sf_dir, "mix_targets").withColumn("domain", F.coalesce(F.element_at(areas, F.col("source")), F.lit("other")))
+    return mix_sources(sized, "doc_id", "tokens", "source", "language", targets, domain="domain")
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
