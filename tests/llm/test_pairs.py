@@ -21,7 +21,8 @@ def test_lcs_matches_brute_force():
 
 def test_empty():
     assert all(is_empty(x) for x in (None, "", " \n", "null", "N/A", "[no answer]", "—", "...", "uhm", "(applause)", "[music] eh", "​", "<noise>"))
-    assert not any(is_empty(x) for x in ("No.", "12", "A part of the lecture."))
+    assert all(is_empty(x) for x in ("無回答", "keine Antwort", "N.A.", "нет ответа"))
+    assert not any(is_empty(x) for x in ("No.", "12", "risposta", "Antwort", "réponse", "unknown", "None", "empty space", "A part of the lecture."))
 
 
 def test_refusals():
@@ -30,6 +31,27 @@ def test_refusals():
     assert all(map(is_refusal, yes)) and not any(map(is_refusal, no))
 
 
+def test_refusals_not_used_to_write_the_templates():
+    """Phrasings of assistants and of people in many languages, and answers that only sound like them."""
+    yes = """
+    I'm sorry, but I can't assist with that. | As an AI model I cannot answer this question. | As an AI language model, I cannot provide medical advice. | I apologize, but I am not able to help with this request. | I'd rather not discuss that here.
+    I am afraid I must decline to comment on this topic. | We cannot comment on that matter. | Unfortunately, I won't respond to that. | Mi spiace, ma non posso aiutarti con questa richiesta. | Come modello linguistico, non posso fornire consigli medici.
+    Preferirei non parlarne qui. | Dazu kann ich leider keine Auskunft geben. | Es tut mir leid, ich kann Ihnen dabei nicht helfen. | Ich möchte mich nicht äußern. | Je ne suis pas en mesure de répondre à cette question. | Je ne souhaite pas commenter ce sujet.
+    Lo siento, no puedo ayudarte con eso. | No estoy autorizada a comentar ese tema. | Não posso ajudar com isso, desculpe. | Prefiro não comentar esse assunto. | Извините, я не могу ответить на этот вопрос. | Przykro mi, nie mogę odpowiedzieć na to pytanie. | Bez komentarza.
+    对不起，我无法回答这个问题。 | 无可奉告。 | 申し訳ありませんが、その質問にはお答えできません。 | ノーコメントです。 | ขอโทษครับ ไม่ขอตอบคำถามนี้ | Δεν μπορώ να απαντήσω σε αυτό. | لا أستطيع الإجابة على هذا السؤال
+    """
+    no = """
+    I can't say that the model is wrong, since the new sensor confirms the data. | You cannot answer this with one number: the waiting time grows with the pressure. | The teacher will not help the group finish, because the exercise is graded on its own.
+    Non posso dire che la curva cambi, ma il peso diminuisce ogni volta. | Ich kann die Kurve erklären. | On ne peut pas répondre sans connaître la température. | No puedo negar que la presión cambia el resultado. | 我认为这个模型可以回答所有同学提出的关于温度和压力变化的重要问题，因为数据很清楚。
+    I cannot answer with one word; the pressure rises because the volume falls. | We were not able to measure it twice, so the first value stands. | この実験は温度が下がると結果が変わります。
+    """
+    split = lambda block: [x.strip() for line in block.strip().splitlines() for x in line.split("|")]
+    missed = [x for x in split(yes) if not is_refusal(x)]
+    assert len(missed) <= 0.1 * len(split(yes)), missed
+    assert not [x for x in split(no) if is_refusal(x)]
+    assert _sign("listen") != _sign("silent") and _sign("dno't") == _sign("don't")
+
+
 def words(t):
     return [_sign(w) for w in t.lower().split()]
 

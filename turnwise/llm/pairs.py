@@ -15,11 +15,15 @@ from turnwise.llm.language import Identifier, LanguageFilters
 from turnwise.llm.lexicon import spoken_words, without_clutter
 from turnwise.session import staged
 
-# Contents that stand for a missing answer.
+# Contents that stand for a missing answer, by whole answers.
 PLACEHOLDERS = frozenset(
-    "n/a na null none nil nan undefined empty blank tbd todo unknown no answer no response nessuna risposta senza risposta keine antwort pas de réponse sans réponse sin respuesta sem resposta".split(" ")
-    + ["no answer", "no response", "nessuna risposta", "senza risposta", "keine antwort", "pas de réponse", "sans réponse", "sin respuesta", "sem resposta", "n a"]
-) - {"no", "de", "sans", "sin", "sem", "keine", "nessuna", "senza", "pas", "answer", "response", "na"}
+    p.strip()
+    for p in """
+    n/a | na | n.a. | null | nil | nan | undefined | empty | blank | tbd | todo | no answer | no response | not answered | nessuna risposta | senza risposta | keine antwort | ohne antwort | pas de réponse
+    sans réponse | sin respuesta | ninguna respuesta | sem resposta | nenhuma resposta | нет ответа | без ответа | brak odpowiedzi | καμία απάντηση | لا جواب | कोई उत्तर नहीं | 無回答 | 未回答 | 无回答 | 没有回答 | ไม่มีคำตอบ
+    """.replace("\n", "|").split("|")
+    if p.strip()
+)
 
 # Templates of refusals, by language.
 REFUSALS = """
@@ -37,16 +41,72 @@ sem comentários | sobre isso não posso dizer nada | não me apetece comentar |
 """
 # Courtesies that may come with a refusal.
 COURTESIES = """
-sorry | i am sorry | i'm sorry | look | to be honest | with all due respect | ask somebody else | next question please | next question | let's take the next one please | if you don't mind | at least not in class | bear with me | well | please | thank you | unfortunately
-mi dispiace | mi dispiace ma | guardi | mah | a essere sincero | con tutto il rispetto | chiedete ad altri | passiamo alla prossima per favore | passiamo alla prossima | abbiate pazienza | almeno non in aula | in aula | scusate | purtroppo | grazie
-tut mir leid | na ja | sehen sie | ehrlich gesagt | bei allem respekt | fragen sie jemand anderen | bitte die nächste frage | wenn es recht ist | jedenfalls nicht hier im saal | bitte um verständnis | leider
-désolé | bon | écoutez | pour être honnête | avec tout mon respect | demandez à quelqu'un d'autre | question suivante | la question suivante s'il vous plaît | du moins pas en cours | merci de comprendre | malheureusement
-lo siento | hombre | mire | para ser sincero | siendo sincero | con todo respeto | pregunten a otra persona | la siguiente por favor | si no os importa | al menos no en clase | entiéndanme | por desgracia
-desculpe | bom | olhe | para ser sincero | com todo o respeito | perguntem a outra pessoa | a próxima por favor | se não se importam | pelo menos não na aula | compreendam | infelizmente
-извините | простите | συγγνώμη | عذرا | क्षमा करें
+sorry | i am sorry | i'm sorry | i apologize | my apologies | i'm afraid | i am afraid | as an ai | as an ai model | as an ai language model | as an ai assistant | as a language model | look | to be honest | with all due respect | ask somebody else | next question please | next question | let's take the next one please | if you don't mind | at least not in class | bear with me | well | please | thank you | unfortunately
+come modello linguistico | come assistente virtuale | in quanto ia | mi scuso | mi spiace | mi dispiace | mi dispiace ma | guardi | mah | a essere sincero | con tutto il rispetto | chiedete ad altri | passiamo alla prossima per favore | passiamo alla prossima | abbiate pazienza | almeno non in aula | in aula | scusate | purtroppo | grazie
+als ki modell | als sprachmodell | als ki | es tut mir leid | entschuldigung | tut mir leid | na ja | sehen sie | ehrlich gesagt | bei allem respekt | fragen sie jemand anderen | bitte die nächste frage | wenn es recht ist | jedenfalls nicht hier im saal | bitte um verständnis | leider
+en tant que modèle de langage | en tant qu'ia | je suis désolé | je regrette | désolé | bon | écoutez | pour être honnête | avec tout mon respect | demandez à quelqu'un d'autre | question suivante | la question suivante s'il vous plaît | du moins pas en cours | merci de comprendre | malheureusement
+como modelo de lenguaje | como ia | lo lamento | perdone | lo siento | hombre | mire | para ser sincero | siendo sincero | con todo respeto | pregunten a otra persona | la siguiente por favor | si no os importa | al menos no en clase | entiéndanme | por desgracia
+como modelo de linguagem | sinto muito | lamento | peço desculpa | desculpe | bom | olhe | para ser sincero | com todo o respeito | perguntem a outra pessoa | a próxima por favor | se não se importam | pelo menos não na aula | compreendam | infelizmente
+извините | простите | к сожалению | przepraszam | przykro mi | niestety | συγγνώμη | λυπάμαι | عذرا | क्षमा करें
 """
+# How a refusal puts that one cannot, may not or will not, and what is refused, by language. Every frame
+# with every act of its language is a template.
+FRAMES = {
+    "en": (
+        "i cannot | i can't | i can not | i won't | i will not | i am unable to | i'm unable to | i am not able to | i'm not able to | i would rather not | i'd rather not | i prefer not to | i would prefer not to | i refuse to | i must decline to | i have to decline to | i decline to | i do not want to | i don't want to | i do not wish to | i am not allowed to | i'm not allowed to | i am not permitted to | i am not authorized to | i am not going to | i'm not going to | i am not comfortable | we cannot | we can't | we are not able to",
+        "answer | respond | reply | comment | discuss | talk about | speak about | assist | help | help you | provide | share | disclose | comply | fulfill | commenting | discussing | answering | engage | say anything | say more | give you",
+    ),
+    "it": (
+        "non posso | non possiamo | non voglio | non intendo | non sono autorizzato a | non mi è permesso | non sono in grado di | preferisco non | preferirei non | mi rifiuto di | non me la sento di | non mi va di | non desidero",
+        "rispondere | commentare | parlare | parlarne | discutere | discuterne | aiutare | aiutarti | fornire | dire | dirlo | esprimermi | pronunciarmi | condividere",
+    ),
+    "de": (
+        "ich kann | ich darf | ich möchte | ich will | wir können | ich werde | dazu kann ich | das kann ich | darüber darf ich | dazu möchte ich | darüber möchte ich | leider kann ich",
+        "nicht beantworten | nicht antworten | nicht kommentieren | nichts sagen | nicht sprechen | nicht reden | nicht helfen | keine auskunft geben | keine antwort geben | mich nicht äußern | nicht weiterhelfen | keinen kommentar abgeben",
+    ),
+    "fr": (
+        "je ne peux pas | je ne veux pas | je ne souhaite pas | je préfère ne pas | je ne suis pas autorisé à | je ne suis pas en mesure de | je refuse de | il m'est impossible de | nous ne pouvons pas | je ne suis pas en droit de",
+        "répondre | commenter | parler | en parler | aider | vous aider | fournir | discuter | m'exprimer | donner | me prononcer",
+    ),
+    "es": (
+        "no puedo | no quiero | no deseo | no pienso | prefiero no | preferiría no | me niego a | no estoy autorizado a | no estoy autorizada a | no se me permite | no tengo permiso para | no podemos",
+        "responder | contestar | comentar | hablar | ayudar | ayudarte | ayudarle | proporcionar | opinar | discutir | decir nada | pronunciarme",
+    ),
+    "pt": (
+        "não posso | não quero | não desejo | prefiro não | preferia não | recuso-me a | não estou autorizado a | não estou autorizada a | não consigo | não podemos | não me é permitido",
+        "responder | comentar | falar | ajudar | ajudá-lo | fornecer | discutir | dizer nada | opinar | pronunciar-me",
+    ),
+    "ru": ("я не могу | не могу | я не хочу | не хочу | я не буду | я отказываюсь | предпочту не | предпочитаю не | мне нельзя | я не вправе | мы не можем", "ответить | отвечать | комментировать | говорить | помочь | обсуждать | сказать | предоставить"),
+    "pl": ("nie mogę | nie chcę | nie będę | wolę nie | wolałbym nie | wolałabym nie | odmawiam | nie wolno mi | nie jestem w stanie", "odpowiedzieć | odpowiadać | odpowiedzi | komentować | skomentować | rozmawiać | mówić | pomóc | udzielić"),
+    "el": ("δεν μπορώ να | δεν θέλω να | προτιμώ να μην | αρνούμαι να | δεν επιτρέπεται να", "απαντήσω | σχολιάσω | μιλήσω | βοηθήσω | συζητήσω"),
+    "ar": ("لا أستطيع | لا يمكنني | لا أريد | أفضل عدم | أرفض | لا يسمح لي", "الإجابة | التعليق | الحديث | الرد | المساعدة | أن أجيب | مساعدتك"),
+    "hi": ("मैं इस पर | मैं इसका | मैं इस प्रश्न का | मैं इस सवाल का | मैं इस बारे में", "उत्तर नहीं दे सकता | जवाब नहीं दे सकता | उत्तर नहीं दे सकती | जवाब नहीं दे सकती | टिप्पणी नहीं करूँगा | कुछ नहीं कह सकता | बात नहीं कर सकता"),
+}
+# Cores of refusals in scripts without spaces.
+CORES = """
+无可奉告 | 不予置评 | 不能回答 | 无法回答 | 不便回答 | 不想回答 | 拒绝回答 | 不愿回答 | 不方便回答 | 不便评论 | 无法提供 | 不能提供 | 不想谈 | 不便透露 | 不能讨论 | 帮不了你 | 无法协助
+ノーコメント | お答えできません | 答えられません | 回答できません | 回答を控え | 回答は控え | お答えすることはできません | お答えしかねます | 答えたくありません | コメントを控え | コメントは控え | コメントできません | お話しできません | お手伝いできません | 差し控え
+ไม่ขอตอบ | ขอไม่ตอบ | ไม่สามารถตอบ | ตอบไม่ได้ | ไม่อยากตอบ | ไม่ขอแสดงความคิดเห็น | ไม่มีความเห็น | ขอไม่แสดงความคิดเห็น | ไม่สามารถให้ข้อมูล | ไม่สามารถช่วย | ไม่สะดวกตอบ
+"""
+# Words around a refusal's frame that name nothing.
+REFUSAL_WORDS = frozenset(
+    """
+    but so and that this it these those with about on to of the a any such your you my me us for here now question questions request topic matter subject further more kind as an ai model language assistant just really simply
+    ma e questa questo quella domanda domande a su di ci ne la il in aula qui richiesta argomento merito ora
+    aber und diese dieser diesem dieses die der das zu hier frage fragen anfrage thema dabei damit leider jetzt dazu darüber darauf ihnen
+    mais et cette ce ces à sur la le en ici question demande sujet cela ça y vous
+    pero y esa esta ese este a sobre la el de aquí pregunta solicitud tema eso ello
+    mas e essa esta esse este a sobre a o de aqui pergunta pedido tema isso disso
+    но и на этот это этом вопрос об о тему здесь вам этого ale i na to tego tym tych pytanie pytania o temat tutaj panu pani ci w na
+    σε αυτό αυτή την ερώτηση για το στην هذا هذه على عن السؤال في के बारे में
+    """.split()
+)
 #: Words of an answer that may stay unaligned in a refusal.
 REFUSAL_SLACK = 2
+#: Words of what is refused that a clause with a whole frame and act may hold besides.
+REFUSED_OBJECT = 4
+#: Characters that a clause with a refusal's core may hold besides, where words are not spaced.
+CORE_ROOM = 16
 #: Share of a template that a clause must align with, both ways.
 ALIGNED = 0.75
 #: Lead-in words before a copied question.
@@ -64,9 +124,10 @@ _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}\p
 
 
 def _sign(word: str) -> str:
-    """Spelling without case and order of letters, so that swapped letters still match."""
+    """Spelling without case and without the order of inner letters, so that swapped letters still match; first and last
+    letter stay, so that other words of the same letters (`listen`, `silent`) do not."""
     w = word.casefold().replace("’", "'")
-    return "".join(sorted(w)) if len(w) > 3 else w
+    return w[0] + "".join(sorted(w[1:-1])) + w[-1] if len(w) > 3 else w
 
 
 def lcs(a: Sequence[str], b: Sequence[str]) -> int:
@@ -85,11 +146,28 @@ def _phrases(block: str) -> list[tuple[str, ...]]:
     return [tuple(_sign(w) for w in _TOKEN.findall(p)) for line in block.strip().splitlines() for p in line.split("|") if p.strip()]
 
 
-_REFUSALS, _COURTESIES = _phrases(REFUSALS), _phrases(COURTESIES)
-_REFUSAL_WORDS: dict[str, list[int]] = {}
-for _i, _p in enumerate(_REFUSALS):
-    for _w in set(_p):
-        _REFUSAL_WORDS.setdefault(_w, []).append(_i)
+_REFUSALS, _COURTESIES = _phrases(REFUSALS + "bez komentarza"), _phrases(COURTESIES)
+_BUILT = sorted({f + a for frames, acts in FRAMES.values() for f in _phrases(frames.replace("\n", "|")) for a in _phrases(acts)})
+_CORES = [c.strip() for line in CORES.strip().splitlines() for c in line.split("|")]
+_CORE = regex.compile("|".join(map(regex.escape, _CORES)))
+_EMPTY_WORDS = frozenset(_sign(w) for w in REFUSAL_WORDS)
+
+
+def _indexed(phrases: list[tuple[str, ...]], keys: int) -> dict[str, list[int]]:
+    """Phrases by their rarest words, one of which a clause that aligns must hold, swapped letters aside."""
+    often = Counter(w for p in phrases for w in set(p))
+    out: dict[str, list[int]] = {}
+    for i, p in enumerate(phrases):
+        for w in sorted(set(p), key=lambda w: (often[w], -len(w), w))[:keys]:
+            out.setdefault(w, []).append(i)
+    return out
+
+
+_REFUSAL_AT, _BUILT_AT, _COURTESY_AT = _indexed(_REFUSALS, 2), _indexed(_BUILT, 1), _indexed(_COURTESIES, 2)
+
+
+def _near(clause: list[str], phrases: list[tuple[str, ...]], at: dict[str, list[int]]) -> list[tuple[str, ...]]:
+    return [phrases[i] for i in {i for w in clause for i in at.get(w, ())}]
 
 
 def _aligns(clause: list[str], phrases: list[tuple[str, ...]]) -> bool:
@@ -99,24 +177,49 @@ def _aligns(clause: list[str], phrases: list[tuple[str, ...]]) -> bool:
     return False
 
 
+def _refused(clause: list[str]) -> bool:
+    """Whether the clause holds a whole frame with its act, in order, and besides little but what is refused."""
+    for p in _near(clause, _BUILT, _BUILT_AT):
+        if lcs(p, clause) == len(p) and sum(w not in _EMPTY_WORDS and w not in p for w in clause) <= REFUSED_OBJECT:
+            return True
+    return False
+
+
+def _bare(clause: list[str]) -> list[str]:
+    """The clause without a courtesy at its start."""
+    for p in _near(clause, _COURTESIES, _COURTESY_AT):
+        if len(p) < len(clause) and tuple(clause[: len(p)]) == p:
+            return clause[len(p) :]
+    return clause
+
+
 def is_refusal(answer: str, most_words: int = 60) -> bool:
     """Whether every clause aligns with a refusal template or a courtesy, and one at least with a template.
 
-    Longer answers than `most_words` cannot consist of refusals and courtesies alone.
+    Templates are whole phrases, or a frame (`I am not able to`) with an act (`comment`) of one language, which may
+    take an object of a few words; in scripts without spaces a core with little around it. Longer answers than
+    `most_words` cannot consist of refusals and courtesies alone.
     """
     refuses, loose, total = False, 0, 0
     for c in _CLAUSE.split(without_clutter(answer)):
+        if _WIDE.search(c) and (m := _CORE.search(c)):
+            if len(c.strip()) - len(m[0]) <= CORE_ROOM:
+                refuses = True
+                continue
         clause = [_sign(t) for w in spoken_words(c) for t in _TOKEN.findall(w)]
         total += len(clause)
         if total > most_words:
             return False
         if not clause:
             continue
-        near = [_REFUSALS[i] for i in {i for w in clause for i in _REFUSAL_WORDS.get(w, ())}]
-        if _aligns(clause, near):
+        if _aligns(clause, _near(clause, _REFUSALS, _REFUSAL_AT)) or _refused(clause):
             refuses = True
-        elif not _aligns(clause, _COURTESIES):
-            loose += len(clause)
+        elif not _aligns(clause, _near(clause, _COURTESIES, _COURTESY_AT)):
+            bare = _bare(clause)
+            if len(bare) < len(clause) and (_aligns(bare, _near(bare, _REFUSALS, _REFUSAL_AT)) or _refused(bare)):
+                refuses = True
+            else:
+                loose += sum(w not in _EMPTY_WORDS for w in clause) if len(clause) <= 3 else len(clause)
         if loose > REFUSAL_SLACK:
             return False
     return refuses
@@ -143,8 +246,8 @@ def is_empty(answer: str | None) -> bool:
     """Whether nothing is said: no spoken word, or a placeholder for a missing answer."""
     if answer is None:
         return True
-    bare = answer.strip().strip("[]()<>{}\"'.-–—*").strip().casefold()
-    return bare in PLACEHOLDERS or not spoken_words(answer)
+    bare = answer.strip().strip("[]()<>{}\"'-–—*。.").strip().casefold()
+    return bare in PLACEHOLDERS or f"{bare}." in PLACEHOLDERS or not spoken_words(answer)
 
 
 def _tokens(text: str) -> list[str]:
