@@ -1,7 +1,36 @@
 import itertools
+import math
 
 import numpy as np
-from turnwise.llm.sentences import BoundaryModel, enclosed, gaps_of, split_sentences, split_text
+import pyarrow as pa
+import pytest
+from turnwise.llm import sentences as sn
+from turnwise.llm.sentences import BACKOFF, LIFT, BoundaryModel, _batch_posteriors, _features_arrow, _forward_backward, _keys, _pieces, _short, _slot, enclosed, gaps_of, split_sentences
+
+
+def posteriors(model, gaps):
+    """Posteriors of one text, gap by gap."""
+    n = len(gaps)
+    if model.mass is None:
+        return np.array([g.seed for g in gaps])
+    base = model._rate([_slot("S0")], 0.5)
+    p, shy, short = np.zeros(n), np.zeros(n), np.zeros(n, bool)
+    logit = lambda x: math.log(x / (1 - x))
+    for k, g in enumerate(gaps):
+        ls, rs = _keys(g)
+        lift = max(-LIFT, min(LIFT, logit(model._rate(rs, base)) - logit(model._rate(rs[-1:], base))))
+        p[k] = 1 / (1 + math.exp(-max(-40.0, min(40.0, logit(model._rate(ls, base)) + lift))))
+        mass, seen = model._cell(_short(g))
+        shy[k], short[k] = (mass + BACKOFF * p[k] * 0.3) / (seen + BACKOFF), k > 0 and g.words <= 1
+    return _forward_backward(p, shy, short)
+
+
+def split_text(text, model):
+    if not text or not text.strip():
+        return []
+    gaps = gaps_of(text)
+    cuts = [(g.end, g.next) for g, p in zip(gaps, posteriors(model, gaps)) if p > 0.5]
+    return _pieces(text, len(text) - len(text.lstrip()), len(text.rstrip()), cuts, model)
 
 
 def parts(text, model=None):
@@ -31,12 +60,12 @@ def test_forward_backward_matches_enumeration():
     text = "One two. Yes. Three four! No. Five six seven. Go. End"
     model = BoundaryModel(rng.random(1 << 20) * 3, np.full(1 << 20, 3.0))
     gaps = gaps_of(text)
-    post = model.posteriors(gaps)
-    single = [model.posteriors(gaps[k : k + 1])[0] for k in range(len(gaps))]
+    post = posteriors(model, gaps)
+    single = [posteriors(model, gaps[k : k + 1])[0] for k in range(len(gaps))]
 
     def after_boundary(k):
         both = [g for g in gaps[: k + 1]]
-        mass, seen = model._cell(__import__("turnwise.llm.sentences", fromlist=["_short"])._short(both[k]))
+        mass, seen = model._cell(_short(both[k]))
         return (mass + 2.0 * single[k] * 0.3) / (seen + 2.0)
 
     total, ones = 0.0, np.zeros(len(gaps))
@@ -59,9 +88,6 @@ def test_operator(spark):
 
 
 def test_batches_agree_with_single_texts():
-    import pyarrow as pa
-    from turnwise.llm.sentences import _batch_posteriors, _features_arrow
-
     texts = ["One two. Yes. Three four! No. “Five” six… seven. Go. End", "", "No gap", "测量结果是16.54度。“新的？”同学这样说。 这样", "He met Dr. A. Lumo. Why?\nBecause. A"]
     rng = np.random.default_rng(4)
     model = BoundaryModel(rng.random(1 << 20) * 3, rng.random(1 << 20) * 4 + 3)
@@ -69,4 +95,68 @@ def test_batches_agree_with_single_texts():
     for m in (model, BoundaryModel()):
         first, post, _, _ = _batch_posteriors(m, batch)
         for d, t in enumerate(texts):
-            assert np.allclose(post[first[d] : first[d + 1]], m.posteriors(gaps_of(t)), atol=1e-6)
+            assert np.allclose(post[first[d] : first[d + 1]], posteriors(m, gaps_of(t)), atol=1e-6)
+
+
+# Beginnings and ends of made-up sentences, by language; middles are shared by both ends' words.
+GRAMMARS = {
+    "it": (["il docente", "la curva", "questo modello", "una variazione", "il gruppo"], ["spiega", "cambia", "riduce", "conferma"], ["i dati del sensore", "il peso della prova", "la forma delle onde", "il tempo di attesa", "le note del corso"], " "),
+    "en": (["the lecturer", "this curve", "our model", "a small change", "we"], ["explains", "shifts", "lowers", "confirms"], ["the sensor data", "the weight of samples", "the shape of waves", "the waiting time", "the course notes"], " "),
+    "ja": (["この先生は", "赤い曲線が", "新しい模型は", "私たちは", "小さな変化が"], ["波の形を", "待ち時間を", "資料の重さを", "実験の結果を"], ["説明します", "変えました", "減らします", "確認しました"], ""),
+    "th": (["อาจารย์คนนี้", "เส้นโค้งสีแดง", "แบบจำลองใหม่", "กลุ่มของเรา", "การเปลี่ยนแปลง"], ["อธิบาย", "เปลี่ยน", "ลด", "ยืนยัน"], ["ข้อมูลของเซนเซอร์", "น้ำหนักตัวอย่าง", "รูปร่างของคลื่น", "เวลารอคอย"], ""),
+}
+MARK = {"it": ". ", "en": ". ", "ja": "。", "th": " "}
+
+
+def made(lang, rng, n):
+    a, b, c, gap = GRAMMARS[lang]
+    return [gap.join((a[rng.integers(len(a))], b[rng.integers(len(b))], c[rng.integers(len(c))])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("lang", list(GRAMMARS))
+def test_unmarked_texts_are_split_as_the_marked_ones(spark, lang):
+    """Trained on texts with marks, the model finds the sentences of texts without any; with the seeds alone, each
+    unmarked text is one sentence, which is what the model adds."""
+    rng = np.random.default_rng(6)
+    marked = [MARK[lang].join(x[:1].upper() + x[1:] for x in made(lang, rng, 8)) + MARK[lang].strip() for _ in range(60)]
+    whole = [made(lang, rng, 14) for _ in range(6)]
+    gap = "" if lang in ("ja", "th") else " "
+    texts = [gap.join(x) for x in whole]
+    df = spark.createDataFrame([(f"m{i}", t) for i, t in enumerate(marked)] + [(f"u{i}", t) for i, t in enumerate(texts)], "gid string, body string")
+    got = {}
+    for r in split_sentences(df, "gid", "body").filter("gid like 'u%'").collect():
+        got.setdefault(r["gid"], set()).add(r["end_offset"])
+    found = true = both = 0
+    for i, own in enumerate(whole):
+        at, ends = 0, set()
+        for x in own:
+            at += len(x)
+            ends.add(at)
+            at += len(gap)
+        found, true, both = found + len(got[f"u{i}"]), true + len(ends), both + len(ends & got[f"u{i}"])
+    print(lang, found, true, both)
+    assert both >= 0.8 * true and both >= 0.8 * found
+    assert len(split_text(texts[0], BoundaryModel())) == 1
+
+
+def test_sparse_stretches_only():
+    assert sn.hazard(10.0)[0] < 0.1 < sn.hazard(10.0)[8] <= 1 < sn.hazard(10.0)[30]
+    model = BoundaryModel(np.ones(1 << 20), np.full(1 << 20, 3.0))
+    assert sn.word_boundaries(model, "a b c", 0, 5) == [] and sn.word_boundaries(model, "one, two " * 40, 0, 360) == []
+
+
+def test_length_posteriors_match_enumeration():
+    rng = np.random.default_rng(3)
+    odds, step, last = rng.normal(size=9), rng.normal(size=4), rng.random(4)
+    total, ones = 0.0, np.zeros(9)
+    for events in itertools.product((0, 1), repeat=9):
+        p, since = 1.0, 0
+        for k, e in enumerate(events):
+            q = 1 / (1 + math.exp(-(odds[k] + step[since])))
+            p *= q if e else 1 - q
+            since = 0 if e else min(since + 1, 3)
+        p *= last[since]
+        total += p
+        ones += p * np.array(events)
+    for block in (1, 2, 4, 100):
+        assert np.allclose(sn._length_posteriors(odds, step, last, block), ones / total)

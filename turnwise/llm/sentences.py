@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -48,7 +48,7 @@ _GAP = regex.compile(
     rf"(?P<mark>[{_TERMINAL}]+|(?<=[\p{{Greek}}][)»”\"]?)[;;]|(?<=[\p{{Greek}}]\s?)[;;])"
     rf"|(?P<quote>[»”」』》\"“’›«‹])|(?P<line>(?=\s*\n))|(?P<space>(?<=[{_NO_MARKS}])(?=[  ]+\S))"
 )
-_LEFT = regex.compile(rf"(?:[{_UNSPACED}]{{1,2}}|[\p{{L}}\p{{M}}\p{{N}}]+(?:[.'’-]+[\p{{L}}\p{{M}}\p{{N}}]+)*)[\s\"”»’›)\]」』》）】“{_TERMINAL};«‹]*$")
+_LEFT = regex.compile(rf"(?r)(?:[{_UNSPACED}]{{1,2}}|[\p{{L}}\p{{M}}\p{{N}}]+(?:[.'’-]+[\p{{L}}\p{{M}}\p{{N}}]+)*)[\s\"”»’›)\]」』》）】“{_TERMINAL};«‹]*$")
 _LEFT_WORD = regex.compile(rf"[{_UNSPACED}]{{1,2}}|[\p{{L}}\p{{M}}\p{{N}}]+(?:[.'’-]+[\p{{L}}\p{{M}}\p{{N}}]+)*")
 _RIGHT = regex.compile(rf"(?P<open>[\"“«„‘'¿¡(\[「『《（【]*)\s*(?P<word>[{_UNSPACED}]{{1,2}}|[\p{{L}}\p{{M}}\p{{N}}]+(?:['’][\p{{L}}\p{{M}}]+)?)?")
 _WORD = regex.compile(rf"[{_UNSPACED}]|[\p{{L}}\p{{M}}\p{{N}}]+")
@@ -225,18 +225,56 @@ def _slot(*parts: str) -> tuple[int, int]:
     return h % SLOTS, (h >> 32) % SLOTS
 
 
-def _keys(g: Gap) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+#: N-grams of a gap whose cells are kept between texts.
+_CACHE = 1 << 17
+
+
+@lru_cache(maxsize=_CACHE)
+def _left_slots(left: str, mark: str) -> tuple:
+    return _slot("L3", left, mark), _slot("L2", _shape(left), mark), _slot("L1", mark)
+
+
+@lru_cache(maxsize=_CACHE)
+def _right_slots(right: str, kind: str) -> tuple:
+    return _slot("R2", right, kind), _slot("R1", kind), _slot("R0")
+
+
+@lru_cache(maxsize=_CACHE)
+def _marked_slots(right: str, kind: str, mark: str) -> tuple:
+    return _slot("G2", right, kind, mark), _slot("G1", kind, mark), _slot("G0", mark)
+
+
+@lru_cache(maxsize=_CACHE)
+def _short_slot(shape: str, mark: str) -> tuple[int, int]:
+    return _slot("B3", "<b>", shape, mark)
+
+
+@lru_cache(maxsize=_CACHE)
+def _end_slot(word: str) -> tuple[int, int]:
+    """Cells of a word as the last of a sentence, whatever the mark."""
+    return _slot("E2", word.lower())
+
+
+@lru_cache(maxsize=_CACHE)
+def _start_slot(word: str) -> tuple[int, int]:
+    """Cells of a word as the first of a sentence, whatever its case."""
+    return _slot("N2", word.lower())
+
+
+_ANY_WORD = _slot("E0")
+
+
+def _keys(g: Gap) -> tuple[tuple, tuple]:
     """Slots of a gap's left n-grams (event given history) and right ones (word given event), longest first.
 
     Behind an ellipsis, which may stand anywhere, the next word is compared with its occurrences inside sentences;
     behind other marks with its occurrences behind such marks.
     """
     if _loose(g):
-        right = [_slot("R2", g.right, g.kind), _slot("R1", g.kind), _slot("R0")]
+        right = _right_slots(g.right, g.kind)
     else:
-        m = g.mark[0] + ("a" if g.left in OPEN_ABBREVIATIONS or len(g.left) == 1 and g.left.isalpha() else "d" if g.left.isdigit() else "")
-        right = [_slot("G2", g.right, g.kind, m), _slot("G1", g.kind, m), _slot("G0", m)]
-    return [_slot("L3", g.left, g.mark), _slot("L2", _shape(g.left), g.mark), _slot("L1", g.mark)], right
+        right = _marked_slots(g.right, g.kind, g.mark[0] + ("a" if g.left in OPEN_ABBREVIATIONS or len(g.left) == 1 and g.left.isalpha() else "d" if g.left.isdigit() else ""))
+    return _left_slots(g.left, g.mark), right
 
 
 def _loose(g: Gap) -> bool:
@@ -244,7 +282,7 @@ def _loose(g: Gap) -> bool:
 
 
 def _short(g: Gap) -> tuple[int, int]:
-    return _slot("B3", "<b>", _shape(g.left), g.mark)
+    return _short_slot(_shape(g.left), g.mark)
 
 
 @dataclass
@@ -266,47 +304,27 @@ class BoundaryModel:
             p = (mass + BACKOFF * p) / (seen + BACKOFF)
         return min(max(p, 1e-6), 1 - 1e-6)
 
-    def posteriors(self, gaps: list[Gap]) -> np.ndarray:
-        """Probability of a boundary at each gap, by forward-backward over the two events.
-
-        The event at a gap depends on its left history, which holds a boundary itself where the gap before lies one
-        word back, and the word after the gap on the event.
-        """
-        n = len(gaps)
-        if self.mass is None:
-            return np.array([g.seed for g in gaps])
-        start = _slot("S0")
-        base = self._rate([start], 0.5)
-        pair = np.zeros((n, 2, 2))
-        for k, g in enumerate(gaps):
-            ls, rs = _keys(g)
-            event = self._rate(ls, base)
-            word, usual = self._rate(rs, base), self._rate(rs[-1:], base)
-            lift = max(-LIFT, min(LIFT, math.log(word / (1 - word)) - math.log(usual / (1 - usual))))
-            odds = math.log(event / (1 - event)) + lift
-            p = 1 / (1 + math.exp(-max(-40.0, min(40.0, odds))))
-            pair[k, 0] = 1 - p, p
-            if g.words <= 1 and k:
-                mass, seen = self._cell(_short(g))
-                shy = (mass + BACKOFF * p * 0.3) / (seen + BACKOFF)
-                pair[k, 1] = 1 - shy, shy
-            else:
-                pair[k, 1] = pair[k, 0]
-        return _forward_backward(pair[:, 0, 1], pair[:, 1, 1], np.ones(n, bool))
-
 
 def _add_words(words: Counter, table: dict[int, list[float]]) -> None:
+    def add(slot: tuple[int, int], mass: float, seen: float) -> None:
+        for i in set(slot):
+            cell = table.setdefault(i, [0.0, 0.0])
+            cell[0] += mass
+            cell[1] += seen
+
     for (w, first), n in words.items():
         kind = _class(w)
-        for s in (_slot("R2", w.lower() if kind != "u" else w, kind), _slot("R1", kind), _slot("R0")):
-            for i in set(s):
-                cell = table.setdefault(i, [0.0, 0.0])
-                cell[0] += n * first
-                cell[1] += n
+        for s in _right_slots(w.lower() if kind != "u" else w, kind):
+            add(s, n * first, n)
+        both = 2 * n if kind in "ht" else n  # of unspaced scripts every second pair of characters is counted
+        add(_end_slot(w), 0.0, both)
+        add(_start_slot(w), n * first, both)
+        add(_ANY_WORD, 0.0, n)
 
 
 _RIGHT_WORDS = regex.compile(rf"[{_UNSPACED}]{{2}}|[\p{{L}}\p{{M}}\p{{N}}]+(?:['’][\p{{L}}\p{{M}}]+)?")
-_N_KEYS = 10
+_FIRST_WORDS = regex.compile(rf"(?:(?<=[\"“«„‘¿¡「『《\n])|^)(?:[{_UNSPACED}]{{2}}|[\p{{L}}\p{{M}}\p{{N}}]+(?:['’][\p{{L}}\p{{M}}]+)?)")
+_N_KEYS = 13
 _FEATURES = pa.schema(
     [("id", pa.string()), ("text", pa.string()), ("lead", pa.int32()), ("tail", pa.int32()), ("ends", pa.list_(pa.int32())), ("nexts", pa.list_(pa.int32())), ("seeds", pa.list_(pa.float32())),
      ("short", pa.list_(pa.bool_())), ("loose", pa.list_(pa.bool_())), ("slots", pa.list_(pa.int32())), ("word_slots", pa.list_(pa.int32())), ("word_mass", pa.list_(pa.float64())), ("word_seen", pa.list_(pa.float64()))]
@@ -330,16 +348,24 @@ def _features_arrow(with_words: bool):
                 slots: list[int] = []
                 for g in gaps:
                     ls, rs = _keys(g)
-                    every = rs if _loose(g) else [_slot("R2", g.right, g.kind), _slot("R1", g.kind), _slot("R0")]
-                    for pair in (*ls, *rs, *every, _short(g)):
+                    every = rs if _loose(g) else _right_slots(g.right, g.kind)
+                    for pair in (*ls, *rs, *every, _short(g), _end_slot(g.left), _start_slot(g.right), _end_slot(g.right)):
                         slots += pair
                 rows.append((i, t, len(t) - len(t.lstrip()), len(t.rstrip()), [g.end for g in gaps], [g.next for g in gaps], [g.seed for g in gaps], [k > 0 and g.words <= 1 for k, g in enumerate(gaps)], [_loose(g) for g in gaps], slots, None, None, None))
                 if with_words:
-                    taken = {g.next for g in gaps}
-                    for m in _RIGHT_WORDS.finditer(t):
-                        k = m.start()
-                        if k not in taken and k - 1 not in taken:
-                            words[m[0], k == 0 or t[k - 1] in "\"“«„‘¿¡「『《\n"] += 1
+                    own = Counter(_RIGHT_WORDS.findall(t))
+                    at_gap = {g.next for g in gaps}
+                    for g in gaps:
+                        m = _RIGHT_WORDS.match(t, g.next) or _RIGHT_WORDS.match(t, g.next + 1)
+                        if m and own.get(m[0]):
+                            own[m[0]] -= 1
+                    for m in _FIRST_WORDS.finditer(t):
+                        if m.start() not in at_gap and m.start() - 1 not in at_gap and own.get(m[0]):
+                            own[m[0]] -= 1
+                            words[m[0], True] += 1
+                    for w, n in own.items():
+                        if n:
+                            words[w, False] += n
             if words:
                 table: dict[int, list[float]] = {}
                 _add_words(words, table)
@@ -355,8 +381,11 @@ def _flat(column: pa.Array, kind: type) -> np.ndarray:
 
 
 def _batch_posteriors(model: BoundaryModel, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first gap of every text, posteriors, slots, short flags) of a batch of features: what
-    `BoundaryModel.posteriors` gives text by text."""
+    """(first gap of every text, posteriors, slots, short flags) of a batch of features.
+
+    The event at a gap depends on its left history, which holds a boundary itself where the gap before lies one word
+    back, and the word after the gap on the event; without a table the seeds decide.
+    """
     names = b.schema.names
     seeds = _flat(b.column(names.index("seeds")), np.float64)
     short = _flat(b.column(names.index("short")), bool)
@@ -405,6 +434,111 @@ _COUNTS = pa.schema([("slot", pa.int32()), ("mass", pa.float64()), ("seen", pa.f
 _COUNTS_DDL = "slot int, mass double, seen double"
 
 
+#: Words without any mark between them from which the places between words may be boundaries too.
+SPARSE = 40
+#: The same in mean sentence lengths.
+SPARSE_MEANS = 4.0
+#: Characters a word, where words are not spaced.
+WIDE_WORD, NO_MARK_WORD = 2.0, 5.0
+#: Words a mark that a stretch may hold and still count as sparse.
+WORDS_A_MARK = 24
+#: Words since the last boundary up to which their number is told apart.
+LONGEST = 80
+_INNER = regex.compile(r"[,;:،、，；：।]")
+_UNIT = regex.compile(rf"[{_UNSPACED}]|[\p{{L}}\p{{M}}\p{{N}}]+(?:['’-][\p{{L}}\p{{M}}\p{{N}}]+)*")
+
+
+def hazard(mean: float) -> np.ndarray:
+    """Factor on the odds of a boundary by the number of words since the last one: next to none for a word or two, one
+    up to one and a half mean lengths, and growing beyond."""
+    k = np.arange(1, LONGEST + 1)
+    return np.where(k <= 2, 0.02, np.where(k <= max(4, 0.3 * mean), 0.3, np.clip(1 + 3 * (k / mean - 1.5), 1, 20)))
+
+
+def _length_posteriors(odds: np.ndarray, step: np.ndarray, last: np.ndarray, block: int = 1_000) -> np.ndarray:
+    """Posterior of a boundary at every place, by forward-backward over the words since the last boundary.
+
+    `odds` are log-odds by place, `step` what the number of words adds, `last` weighs the rest behind the last
+    boundary. States of one block are held, those before it computed again from its start, so that memory grows with a
+    block and not with the text.
+    """
+    n, size = len(odds), len(step)
+
+    def chance(k: int) -> np.ndarray:
+        return 1 / (1 + np.exp(-(odds[k] + step)))
+
+    def moved(state: np.ndarray, p: np.ndarray) -> np.ndarray:
+        goes = state * (1 - p)
+        out = np.empty(size)
+        out[0] = state @ p
+        out[1:] = goes[:-1]
+        out[-1] += goes[-1]
+        return out
+
+    state = np.zeros(size)
+    state[0] = 1.0
+    kept = []
+    for k in range(n):
+        if k % block == 0:
+            kept.append(state)
+        state = moved(state, chance(k))
+    back, post = last.copy(), np.zeros(n)
+    for start in range((n - 1) // block * block, -1, -block):
+        states = [kept[start // block]]
+        for k in range(start, min(start + block, n) - 1):
+            states.append(moved(states[-1], chance(k)))
+        for k in range(min(start + block, n) - 1, start - 1, -1):
+            p, state = chance(k), states[k - start]
+            ends, goes = p * back[0], (1 - p) * np.append(back[1:], back[-1])
+            post[k] = state @ ends / max(state @ (ends + goes), 1e-300)
+            back = ends + goes
+            back /= back.max()
+    return post
+
+
+def word_boundaries(model: BoundaryModel, text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """(end, next) of the boundaries between words of a stretch without marks, by forward-backward over the places.
+
+    The event at a place depends on the word before it and on the words since the last event, the word behind it on
+    the event; rates are those that the words have at the boundaries of marked texts. In scripts without spaces a unit
+    is a character, known by pairs. No place inside a quotation or bracket counts.
+    """
+    if model.mass is None:
+        return []
+    units = [m for m in _UNIT.finditer(text, start, end)]
+    wide = sum(_UNSPACED_CHAR.match(m[0]) is not None for m in units)
+    bare = sum(_NO_MARK_CHAR.match(m[0]) is not None for m in units)
+    per = NO_MARK_WORD if 2 * bare > len(units) else WIDE_WORD if 2 * wide > len(units) else 1.0  # units a word
+    boundaries, words = model._cell(_ANY_WORD)
+    base = min(max((boundaries + 1) / (words + 20), 1e-3), 0.5)
+    mean = (1 if per == 1 else 2) / base  # units a sentence; what is counted are words and pairs of characters
+    if len(units) < max(per * SPARSE, SPARSE_MEANS * mean) or len(_INNER.findall(text, start, end)) * WORDS_A_MARK * per > len(units):
+        return []
+    held = [(a, b) for a, b, _ in enclosed(text[start:end])]
+    places = []
+    for x, y in zip(units, units[1:]):
+        if not any(a < x.end() - start <= b for a, b in held):
+            places.append((x.end(), y.start(), x, y))
+    n = len(places)
+    if not n:
+        return []
+
+    def known(pair: str, slot) -> float:
+        mass, seen = model._cell(slot(pair))
+        p = (mass + 4 * base) / (seen + 4)
+        return math.log(p / (1 - p)) if 0 < p < 1 else math.log(base / (1 - base))
+
+    rest = math.log(base / (1 - base))
+    odds = np.empty(n)
+    for k, (e, nxt, x, y) in enumerate(places):
+        left = text[max(start, e - 2) : e] if _UNSPACED_CHAR.match(x[0]) else x[0]
+        right = text[nxt : min(end, nxt + 2)] if _UNSPACED_CHAR.match(y[0]) else y[0]
+        odds[k] = np.clip(known(left, _end_slot) + known(right, _start_slot) - rest, -8, 8) - (math.log(2) if per > 1 else 0.0)
+    step = np.log(hazard(mean))
+    post = _length_posteriors(odds, step, np.minimum(1.0, hazard(mean)))
+    return [(places[k][0], places[k][1]) for k in np.flatnonzero(post > 0.5)]
+
+
 def _count_arrow(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
@@ -427,10 +561,14 @@ def _count_arrow(shared):
                 add(slots[:, k], post, ones)
             for k in range(6, 9):
                 add(slots[~loose, k], post[~loose], ones[~loose])
+            add(slots[:, 10], post, 0 * ones)  # of the words before and behind a gap
+            add(slots[:, 11], post, ones)
+            add(slots[:, 12], 0 * ones, ones)
+            add(np.array([_ANY_WORD]), post.sum(keepdims=True), ones.sum(keepdims=True))
             add(start, post.sum(keepdims=True), ones.sum(keepdims=True))
             at = np.flatnonzero(short)
             add(slots[at, 9], post[at] * post[at - 1], post[at - 1])
-        used = np.flatnonzero(seen)
+        used = np.flatnonzero((seen > 0) | (mass > 0))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(mass[used]), pa.array(seen[used])], schema=_COUNTS)
 
     return run
@@ -477,19 +615,17 @@ def fit_boundaries(texts: DataFrame, record_id: str, text: str, rounds: int = RO
     return _fit(_features(texts, record_id, text, True), rounds)
 
 
-def split_text(text: str | None, model: BoundaryModel) -> list[tuple[int, int]]:
-    """(start, end) offsets of a text's sentences, in Unicode code points."""
-    if not text or not text.strip():
-        return []
-    gaps = gaps_of(text)
-    post = model.posteriors(gaps)
+def _pieces(text: str, lead: int, tail: int, cuts: Iterable[tuple[int, int]], model: BoundaryModel) -> list[tuple[int, int]]:
+    """(start, end) of the sentences between boundaries (end, next); stretches of sparse marks are divided further."""
     out = []
-    at = len(text) - len(text.lstrip())
-    for g, p in zip(gaps, post):
-        if p > 0.5:
-            out.append((at, g.end))
-            at = g.next
-    out.append((at, len(text.rstrip())))
+    at = lead
+    for e, nxt in (*cuts, (tail, tail)):
+        if e - at > SPARSE and (inner := word_boundaries(model, text, at, e)):
+            for x, y in inner:
+                out.append((at, x))
+                at = y
+        out.append((at, e))
+        at = nxt
     return [(a, a + len(text[a:b].rstrip())) for a, b in out if text[a:b].strip()]
 
 
@@ -506,14 +642,8 @@ def _split_arrow(shared):
             for d, (i, t) in enumerate(zip(ids, texts)):
                 if tails[d] == 0:
                     continue
-                at, k = leads[d], 0
-                cuts = np.flatnonzero(post[first[d] : first[d + 1]] > 0.5)
-                for e, nxt in [*((ends[d][c], nexts[d][c]) for c in cuts), (tails[d], 0)]:
-                    piece = t[at:e].rstrip()
-                    if piece:
-                        rows.append((i, k, at, at + len(piece), piece))
-                        k += 1
-                    at = nxt
+                cuts = [(ends[d][c], nexts[d][c]) for c in np.flatnonzero(post[first[d] : first[d + 1]] > 0.5)]
+                rows += [(i, k, x, y, t[x:y]) for k, (x, y) in enumerate(_pieces(t, leads[d], tails[d], cuts, model))]
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FOUND)], schema=_FOUND)
 
@@ -525,11 +655,13 @@ def split_sentences(df: DataFrame, record_id: str, text: str, model: bytes | Non
 
     A hidden-event n-gram model puts boundary events between words: the event depends on the words and marks before
     it, the next word on the event; forward-backward posteriors above one half are boundaries. Events are possible
-    behind final marks, quotations and line breaks and, in scripts without final marks, at spaces, and never inside a
-    quotation or bracket, which belongs to the sentence that carries it. The model is trained on all texts given, from
+    behind final marks, quotations and line breaks and, in scripts without final marks, at spaces; in stretches of
+    SPARSE words or more, and of SPARSE_MEANS mean lengths, that hold hardly a mark, between any two
+    words; never inside a quotation or bracket, which belongs to the sentence that carries it. The model is trained on all texts given, from
     seeded guesses, unless one from `fit_boundaries` is passed.
 
-    Defined results: null and blank texts have no sentences; a text without any boundary is one sentence; unclosed
+    Defined results: null and blank texts have no sentences; a text without any boundary is one sentence, as are
+    unmarked texts where no text with marks tells how sentences begin and end; unclosed
     quotations hold nothing together; rows of one record id and text that repeat count once; very long texts are read
     whole; an empty input gives no rows; other columns are ignored, whatever their names.
     """
