@@ -50,6 +50,37 @@ INTERROGATIVES = "what why how when where which who perche come quando dove qual
 # Statements that only look like questions.
 DECLARATIVE_WHAT = (r"^\s*that'?s what\b", r"^\s*what it means\b", r"\bwhat we call\b", r"^\s*what happens is\b")
 
+# Words and patterns of chatter around questions and answers.
+DEFLECTION_META = "course corso class classe lesson lecture lezione lezioni module modulo slide slides exam esame today oggi".split()
+DEFLECTION_DISMISSIVE = "essential essenziale essenzialissimo important importante necessary necessario needed serve servono relevant rilevante".split()
+NEGATIONS = "no non not n't never mai".split()
+POLL_WORDS = "0 1 2 3 4 5 one two three four five uno due tre quattro cinque".split()
+BACKCHANNEL_WORDS = "ah eh hm hmm no bene bon ok okay right si uh uhm vero via yeah yes".split()
+FILLER_ANSWERS = ("another aside entirely", "because i can feel one coming", "in general", "let us move on for a moment", "let us pause", "well")
+INCOMPLETE_ENDS = "al alla allo because but che di if of per perche questa queste questi questo se that these this those to toward towards when which".split()
+WEAK_KEYWORDS = "answer ask question questions thing things think towards want".split()
+BACKCHANNEL_CHECK = r"\b(?:ci\s+siamo|mi\s+state\s+(?:vedendo|sentendo|seguendo)|are\s+(?:we|you)\s+(?:ready|good|clear|following)|can\s+you\s+(?:see|hear|follow))\b"
+PROCEDURAL = r"\b(?:ask\s+(?:[a-z]+\s+){0,4}(?:a\s+)?question|(?:one|1)\s+more\s+(?:audience\s+)?question)\b"
+FOLLOW_UP_PROMPT = r"^(?:(?:tell|explain|describe|show|walk)\s+(?:me|us)\b|(?:can|could|would)\s+you\s+(?:tell|explain|describe|show)\b|(?:racconta|raccontaci|raccontami|spiega|spiegaci|spiegami|dicci|dimmi)\b)"
+HAND_OFFS = (r"^(?:or\s+)?(?:professor|dr|doctor)\b", r"^(?:or\s+)?[a-z]{2,24}\s+(?:is|was|also)\s+(?:engaged|joining|here)\b", r"\b(?:let'?s|we(?:'| a)?re going to)\s+(?:move|turn|go)\b", r"\bnext\s+question\b")
+BOILERPLATE = (
+    r"^(?:yeah|yes|no|okay|ok|well|so|right)[\s,.-]*$", r"^(?:let me|i want to|we are going to|we're going to)\b", r"^(?:i had a thought|i have a thought)\b", r"\bedging towards an answer\b",
+    r"\b(?:answer|response)\s+(?:is|will be|comes)\s+in\s+(?:the\s+)?next\b", r"\b(?:come|get|go)\s+back\s+to\s+(?:that|this|it)\s+later\b", r"\b(?:course split|lecture outline|today we will)\b",
+    r"\b(?:next|following)\s+(?:slide|section|part|topic)\b", r"\b(?:move|moving|turn|turning)\s+(?:on|to)\b", r"^(?:thanks|thank you)\s+(?:for\s+)?(?:that|the)?\s*question\b",
+)
+INCOMPLETE_STARTS = r"^(?:not\s+only|non\s+soltanto|if|se|when|quando)\b"
+ADDITIVE_STARTS = r"^(?:also|and\s+also|plus|moreover|furthermore|additionally|then|anche|e\s+anche|ed\s+anche|inoltre|poi|mettendo|mettendoci|aggiungendo|facendo|usando|portando)\b"
+CAUSAL_STATEMENTS = (
+    r"^(?:because|perche)\s+(?:there\s+(?:is|are)|c[' ]?e|ci\s+sono)\b", r"^(?:because|perche)\s+(?:(?:a|an|the|un|una|il|lo|la|i|gli|le)\s+)?[\w']+(?:\s+[\w']+){0,6}\s+(?:is|are|was|were|e)\s+(?:that|che)\b",
+    r"^(?:because|perche)\s+(?:if|se|when|quando)\b",
+)
+META_OPENING = r"(?i)^(?:(?:yeah|yes|right|okay|ok|well|so)[\s,.-]+)*(?:that(?:'s|\s+is)\s+(?:a\s+)?(?:good|great|excellent|interesting|deep)\s+question|(?:thanks|thank\s+you)\s+(?:for\s+)?(?:that|the)?\s*question)[\s,.:;!-]+(.+)$"
+TRAILING_TAG = r"(?i)^(.+?)[,;]?\s+(?:right|vero|correct|ok|okay|yes|no|eh)\?$"
+DIDACTIC_LEAD = r"(?i)^(.*?\b(?:la\s+mia\s+domanda|la\s+domanda|the\s+question)\s+(?:e|è|is)\s+)(.+)$"
+BRIDGE_ENDS = r"(?:the question is|the question|la domanda e|la domanda|cioe|that is|i mean|meaning|in other words)$"
+#: Reasons of a sentence that make a question without its mark a weak one.
+WEAK_STRUCTURE = ("question_sentence_quality_penalty", "question_sentence_quality_borderline", "question_merge_safety_penalty", "question_low_sentence_autonomy", "question_low_boundary_confidence", "question_continuation_risk")
+
 #: Accented Latin letters and what is left of them once marks are dropped; other letters outside ASCII vanish.
 ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüñçýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
@@ -99,7 +130,8 @@ def overlap_ratio(a: Column, b: Column) -> Column:
 
 
 def clamp(score: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
+    """A score inside 0 and 1, rounded half up to four digits; the millionth of a digit keeps noise from deciding."""
+    return F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)) * 10_000 + 0.500001) / 10_000
 
 
 def first_word(text: Column) -> Column:

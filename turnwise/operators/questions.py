@@ -70,6 +70,11 @@ def question_scores(df: DataFrame, text: str) -> DataFrame:
         + F.when(~mark & ~opens, -0.18).otherwise(0.0) + delta
     )
     kind = F.coalesce(lx.cue_label(rule, lx.DIDACTIC_CUES), lx.cue_label(rule, lx.QUESTION_CUES), F.when(mark, "direct_question"), F.lit("generic_question"))
+    intents = {"poll_or_check": "poll_or_check", "rhetorical_tag": "rhetorical_tag", "fragment": "fragment", "embedded_statement_question": "embedded_statement", "weak_question_form": "weak_form"}
+    reasons = [F.when(mark, "question_mark"), F.when(~mark, "implicit_question_cue"), F.when(check, "rhetorical_checkin_question"), F.when(poll, "rhetorical_poll_question"), F.when(F.col("_tag"), "declarative_tag_question")]
+    reasons += [F.when(F.col("_fragment"), "fragment_question"), F.when(~mark & ~opens, "implicit_declarative_question_penalty"), F.when(head, "question_intent_autonomous_head"), F.when(didactic > 0, "question_intent_didactic_cue")]
+    reasons += [F.when(F.col("intent") == name, f"question_intent_{code}") for name, code in intents.items()]
+    out = out.withColumn("question_reasons", F.array_compact(F.array(*reasons))).withColumn("is_head", head)
     out = out.withColumn("question_kind", kind).withColumn("question_score", F.when(~rejected, lx.clamp(score))).drop(*[c for c in (*steps, "_tag", "_fragment") if c != "is_contextual"])
     return out.withColumn("question_band", F.when(F.col("question_score") >= CONFIDENCE_HIGH, "high").when(F.col("question_score") >= CONFIDENCE_MEDIUM, "medium").otherwise("low"))
 

@@ -54,11 +54,11 @@ def answer_scores(spark, sf):
 
 
 def answer_rank(spark, sf):
-    return qs.ranked_answers(_answered(spark, sf), ["audio_source_id"], "pair_confidence", "distance", "gap", "qa_candidate_id").select("qa_candidate_id", "place")
+    return qs.ranked_answers(_answered(spark, sf), ["audio_source_id", "question_text"], "pair_confidence", "distance", "gap", "qa_candidate_id").select("qa_candidate_id", "place")
 
 
 def answer_rerank(spark, sf):
-    return qs.reranked(_answered(spark, sf), ["audio_source_id"], "answer_score", "retrieval_score", "qa_candidate_id").select("qa_candidate_id", "final_score", "final_place", "fallback")
+    return qs.reranked(_answered(spark, sf), ["audio_source_id", "question_text"], "answer_score", "retrieval_score", "qa_candidate_id").select("qa_candidate_id", "final_score", "final_place", "fallback")
 
 
 def _asked(spark, sf):
@@ -145,6 +145,13 @@ def semantic_topk(spark, sf):
     return out.select("query_id", "vec_id", F.round("similarity", 4).alias("similarity"))
 
 
+def semantic_index_topk(spark, sf):
+    """The same from an inverted-file index, which may miss a few."""
+    e = table(spark, sf, "embeddings")
+    q = e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return sm.indexed_top(q, e, "query_id", "vec_id", "embedding", 4, 0.2).select("query_id", "vec_id", F.round("similarity", 4).alias("similarity"))
+
+
 def responsiveness_scores(spark, sf):
     s = _once(spark, sf, "responsiveness_scores", "qa_candidate_id").filter("question_answer_similarity is not null")
     return s.select("qa_candidate_id", sm.responsiveness(F.col("question_answer_similarity"), F.col("answer_continuation_similarity")).alias("responsiveness"))
@@ -159,7 +166,7 @@ def voice_check(spark, sf):
 
 _QUERIES = (
     rule_text_tokens, answer_cues, question_scores, question_answer_alignment, answer_scores, answer_rank, answer_rerank, answer_windows, deferred_recurrence, context_units, qa_quality, qa_gate, speaker_rescue,
-    qa_coverage, near_duplicate_pairs, near_duplicate_decisions, semantic_topk, responsiveness_scores, voice_check,
+    qa_coverage, near_duplicate_pairs, near_duplicate_decisions, semantic_topk, semantic_index_topk, responsiveness_scores, voice_check,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -199,6 +206,21 @@ def _overlap(a: str, b: str) -> str:
     return f"CASE WHEN least(len({a}), len({b})) > 0 THEN len(list_intersect({a}, {b})) / least(len({a}), len({b})) ELSE 0 END"
 
 
+def rounded(sql: str) -> str:
+    """SQL in which every clamp to 0 and 1 is rounded to four digits, as `lexical.clamp` does."""
+    out, at = [], 0
+    while (k := sql.find("least(1.0, ", at)) >= 0:
+        depth, end = 0, k + len("least")
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        out.append(sql[at:k] + "(floor(least(1.0, " + rounded(sql[k + len("least(1.0, ") : end]) + " * 10000 + 0.500001) / 10000)")
+        at = end
+    return "".join(out) + sql[at:]
+
+
 _QA = "qa AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM qa_candidates)"
 _IN = lambda words: "(" + ", ".join(_s(w) for w in words) + ")"
 _HEADS = _IN([*lx.INTERROGATIVES, *qs.AUXILIARIES])
@@ -256,7 +278,10 @@ SQL = {
     "question_scores": f"WITH {_SCORED} SELECT qa_candidate_id, question_tokens, intent, question_kind, question_score, is_contextual, question_band FROM scored",
     "question_answer_alignment": f"WITH {_QA}, {_aligned('qa')} SELECT qa_candidate_id, shared_keywords, shared_numbers, token_overlap, new_tokens, alignment FROM aligned",
     "answer_scores": f"WITH {_ANSWERED} SELECT qa_candidate_id, answer_score, part_distance, part_cues, part_responsive, part_silence, part_broken, part_echo, part_voice, pair_confidence FROM b4",
-    "answer_rank": f"WITH {_ANSWERED} SELECT qa_candidate_id, row_number() OVER (PARTITION BY audio_source_id ORDER BY round(pair_confidence, 9) DESC NULLS LAST, distance, gap NULLS LAST, qa_candidate_id) AS place FROM answered",
+    "answer_rank": f"WITH {_ANSWERED} SELECT qa_candidate_id, row_number() OVER (PARTITION BY audio_source_id, question_text ORDER BY round(pair_confidence, 9) DESC NULLS LAST, distance, gap NULLS LAST, qa_candidate_id) AS place FROM answered",
+    "answer_rerank": f"""WITH {_ANSWERED}, f AS (SELECT *, row_number() OVER (PARTITION BY audio_source_id, question_text ORDER BY answer_score DESC NULLS LAST, qa_candidate_id) AS first, max(retrieval_score) OVER (PARTITION BY audio_source_id, question_text) AS any_score FROM answered),
+        m AS (SELECT *, CASE WHEN first <= 8 AND retrieval_score IS NOT NULL THEN 0.7 * retrieval_score + 0.3 * answer_score ELSE answer_score END AS final_score, CASE WHEN any_score IS NULL THEN 'semantic_unavailable' END AS fallback FROM f)
+        SELECT qa_candidate_id, final_score, row_number() OVER (PARTITION BY audio_source_id, question_text ORDER BY final_score DESC NULLS LAST, qa_candidate_id) AS final_place, fallback FROM m""",
     "answer_windows": f"""WITH {_QA}, {_ASKED}, {_SENT}, {_PLACED}, n AS (SELECT *, lead(q_start) OVER (PARTITION BY source ORDER BY q_start, question_id) AS next_q FROM asked),
         b AS (SELECT n.source, n.question_id, n.q_end, n.next_q, (SELECT count(*) FROM sents s WHERE s.source = n.source AND s.u_start < n.q_end) AS before FROM n),
         w AS (SELECT b.*, step, p.unit_id, p.u_start, p.u_end, p.text FROM b, (SELECT unnest([1, 2, 3]) AS step), placed p WHERE p.source = b.source AND p.k = b.before + step),
@@ -275,7 +300,8 @@ SQL = {
         SELECT qa_candidate_id, risk_score, base_quality, final_quality, CASE WHEN final_quality >= 0.74 THEN 'high' WHEN final_quality >= 0.5 THEN 'medium' ELSE 'low' END AS quality_band,
             CASE WHEN risk_score >= 0.55 THEN 'high' WHEN risk_score >= 0.25 THEN 'medium' ELSE 'low' END AS risk_band, array_to_string(list_sort(coalesce(review_flags, []))[1:8], ',') AS risk_reasons FROM f""",
     "qa_gate": f"WITH {_GATED} SELECT qa_candidate_id, suppressed_by, suppressed_by IS NULL AS emitted FROM gated",
-    "speaker_rescue": f"""WITH {_GATED}, s AS (SELECT *, coalesce(similarity_score <= 0.45, false) AND suppressed_by IN ('below_min_confidence', 'weak_boundary') AS ok, count(*) OVER (PARTITION BY session_id ORDER BY qa_candidate_id ROWS UNBOUNDED PRECEDING) AS c FROM gated WHERE suppressed_by IS NOT NULL)
+    "speaker_rescue": f"""WITH {_GATED}, e AS (SELECT *, coalesce(suppressed_by IN ('below_min_confidence', 'weak_boundary'), false) AS checked, coalesce(similarity_score <= 0.45, false) AND suppressed_by IN ('below_min_confidence', 'weak_boundary') AS ok FROM gated WHERE suppressed_by IS NOT NULL),
+        s AS (SELECT *, sum(checked::INT) OVER (PARTITION BY session_id ORDER BY qa_candidate_id ROWS UNBOUNDED PRECEDING) AS c FROM e)
         SELECT qa_candidate_id, ok AND c <= 40 AND sum(CASE WHEN ok AND c <= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY qa_candidate_id ROWS UNBOUNDED PRECEDING) <= 8 AS rescued FROM s""",
     "qa_coverage": f"""WITH {_GATED}, u AS (SELECT DISTINCT unit_id, session_id, text FROM segmentation_units WHERE unit_kind = 'sentence' AND text IS NOT NULL),
         b AS (SELECT session_id, count(*) AS units, count(*) FILTER (lower(regexp_extract(text, '^[^\\p{{L}}\\p{{N}}]*([\\p{{L}}\\p{{N}}]+)', 1)) IN {_IN(lx.INTERROGATIVES)} OR contains(text, '?')) AS interrogative_units FROM u GROUP BY 1),
@@ -292,3 +318,4 @@ SQL = {
             AND question_timing.end_seconds - question_timing.start_seconds >= 1.5 AND answer_timing.end_seconds - answer_timing.start_seconds >= 1.5, false) THEN 'skipped' WHEN similarity_score >= 0.72 THEN 'same' WHEN similarity_score <= 0.45 THEN 'different' ELSE 'unclear' END AS voice FROM qa)
         SELECT qa_candidate_id, voice, CASE WHEN voice = 'same' THEN least(1.0, (s - 0.72) / 0.13) * 0.25 ELSE 0 END AS voice_penalty, CASE WHEN voice = 'different' THEN 0.04 ELSE 0 END AS voice_bonus FROM v""",
 }
+SQL = {name: sql if name == "voice_check" else rounded(sql) for name, sql in SQL.items()}
