@@ -121,3 +121,29 @@ def test_streams_agree_with_batches(spark, tmp_path):
     totals = {r["user"]: (r["rows"], r["total"]) for r in run(lambda s: sessions.running_totals(s, "user", "value"), "update", "totals").collect()}
     assert totals == {"a": (7, 42.0), "b": (7, 42.0)}
     assert sessions.distinct_by_id(df.withColumn("id", F.col("user")), "id", "ts", "1 hour").count() == 2
+
+
+def test_comparison(spark, tmp_path):
+    import pytest
+    from turnwise.operators.evaluation import rankings
+
+    runs = spark.createDataFrame([("b", 12.5, None), ("a", 3.0, 2)], "run_id string, seconds double, pairs int")
+    placed = rankings(runs, "run_id", {"seconds": False, "pairs": True})
+    outputs.write_comparison("Runs", runs, placed, str(tmp_path / "cmp"))
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "cmp/markdown")).collect())
+    assert text.startswith("# Runs") and "| b | 12.500 |  |" in text and "1. a (3.000)" in text and "2. b (12.500)" in text and text.count("1. a") == 2
+    assert spark.read.json(str(tmp_path / "cmp/runs")).count() == 2 and spark.read.json(str(tmp_path / "cmp/rankings")).count() == 3
+    with pytest.raises(ValueError):
+        outputs.comparison_markdown("x", runs, placed, limit=1)
+
+
+def test_sentence_question_rows(spark):
+    from turnwise.operators.metrics import sentence_question_rows, summary_rows
+
+    sentences = spark.createDataFrame([("s", "u1", 0.0, 5.0), ("s", "u2", 5.0, 9.0), ("s", "u3", None, 2.0)], "source string, unit_id string, u_start double, u_end double")
+    pairs = spark.createDataFrame([("s", "q1", 1.0, 0.9), ("s", "q2", 2.0, 0.5), ("s", "q3", 4.999, 0.1), ("s", "q4", 9.0, 0.2), ("t", "q5", 1.0, 0.3), ("s", "q6", None, 0.3)], "source string, qa_id string, at double, confidence double")
+    got = {r["unit_id"]: r for r in sentence_question_rows(sentences, pairs, 60.0).collect()}
+    assert got["u1"]["qa_count"] == 3 and got["u1"]["qa_ids"] == ["q1", "q2"] and abs(got["u1"]["best_confidence"] - 0.9) < 1e-9
+    assert got["u2"]["qa_count"] == got["u3"]["qa_count"] == 0 and got["u2"]["qa_ids"] == []
+    rows = {(r["section"], r["metric"]): (r["value"], r["value2"]) for r in summary_rows({"pairs": (pairs, {"count": (None, None), "confidence": ("confidence", None)})}).collect()}
+    assert rows == {("pairs", "count"): (6.0, None), ("pairs", "confidence"): (0.9, 0.1)} or rows[("pairs", "count")][0] == 6.0

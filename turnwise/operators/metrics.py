@@ -87,3 +87,45 @@ def carried_comments(rows: DataFrame, earlier: DataFrame, key: str) -> DataFrame
     """Rows with the comments that people gave to rows of the same key in an earlier output; the last one counts."""
     last = earlier.filter(F.trim("comment") != "").groupBy(key).agg(F.max_by("comment", "written_at").alias("comment"))
     return keyed_join(rows, last, [key], "left")
+
+
+def sentence_question_rows(sentences: DataFrame, pairs: DataFrame, bin_seconds: float = 30.0, most: int = 2) -> DataFrame:
+    """(source, unit_id, qa_count, qa_ids, best_confidence): every sentence with the pairs whose question begins in it.
+
+    `sentences` has (source, unit_id, u_start, u_end), `pairs` (source, qa_id, at, confidence). The ids are the first
+    `most` in time; the counts are of all. A sentence meets the pairs of the bins it touches only, so a hot source is
+    spread over its bins. Sentences without times, and pairs without a start, meet nothing; a sentence with no pair has
+    count 0; repeated rows of one key count once.
+    """
+    own = sentences.dropDuplicates(["unit_id"])
+    lo, hi = F.floor(F.col("u_start") / bin_seconds), F.floor(F.col("u_end") / bin_seconds)
+    held = own.filter(F.col("u_end") > F.col("u_start")).select("source", "unit_id", "u_start", "u_end", F.explode(F.sequence(lo, hi)).alias("bin"))
+    asked = pairs.filter(F.col("at").isNotNull()).dropDuplicates(["qa_id"]).withColumn("bin", F.floor(F.col("at") / bin_seconds))
+    met = held.join(asked, ["source", "bin"]).filter((F.col("at") >= F.col("u_start")) & (F.col("at") < F.col("u_end")))
+    found = met.groupBy("unit_id").agg(F.count(F.lit(1)).alias("_n"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "qa_id"))), lambda x: x["qa_id"]), 1, most).alias("_ids"), F.max("confidence").alias("best_confidence"))
+    out = own.join(found, "unit_id", "left")
+    return out.select("source", "unit_id", F.coalesce("_n", F.lit(0)).alias("qa_count"), F.coalesce("_ids", F.array().cast("array<string>")).alias("qa_ids"), "best_confidence")
+
+
+def summary_rows(sections: dict[str, tuple[DataFrame, dict[str, tuple[str | None, str | None]]]]) -> DataFrame:
+    """(section, metric, value, value2): one row a metric, from one aggregation a section.
+
+    A metric is (column, flag): without both the rows are counted; with a column its mean and median; with a flag, a
+    SQL condition, how many rows hold it and their share. Empty tables count 0 and have no other value.
+    """
+    out: DataFrame | None = None
+    for section, (df, metrics) in sections.items():
+        aggs, named = [F.count(F.lit(1)).cast("double").alias("_n")], []
+        for i, (metric, (column, flag)) in enumerate(metrics.items()):
+            if column is not None:
+                aggs += [F.avg(column).alias(f"_v{i}"), F.percentile(column, F.lit(0.5)).alias(f"_w{i}")]
+                pair = (F.col(f"_v{i}"), F.col(f"_w{i}"))
+            elif flag is not None:
+                aggs.append(F.count(F.when(F.expr(flag), 1)).cast("double").alias(f"_v{i}"))
+                pair = (F.col(f"_v{i}"), F.when(F.col("_n") > 0, F.col(f"_v{i}") / F.col("_n")))
+            else:
+                pair = (F.col("_n"), F.lit(None))
+            named.append(F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"), pair[0].cast("double").alias("value"), pair[1].cast("double").alias("value2")))
+        rows = df.agg(*aggs).select(F.explode(F.array(*named)).alias("r")).select("r.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -18,6 +18,29 @@ def sentence_metrics(spark, sf):
     return me.sentence_metrics(rated, ["session_id"], "words", "seconds", "quality")
 
 
+def _asked(spark, sf):
+    q = _once(spark, sf, "qa_candidates", "qa_candidate_id")
+    return q.select(F.col("audio_source_id").alias("source"), F.col("qa_candidate_id").alias("qa_id"), F.col("question_timing.start_seconds").alias("at"), "confidence")
+
+
+def sentence_question_rows(spark, sf):
+    own = _sentences(spark, sf).select(F.col("audio_source_id").alias("source"), "unit_id", F.col("start_seconds").alias("u_start"), F.col("end_seconds").alias("u_end"))
+    return me.sentence_question_rows(own, _asked(spark, sf)).withColumn("qa_ids", F.array_join("qa_ids", ","))
+
+
+def report_summary(spark, sf):
+    """Counts, means and shares of the report's sections, as rows."""
+    chunks, said = _once(spark, sf, "transcript_chunks", "chunk_id"), _once(spark, sf, "utterances", "utterance_id")
+    return me.summary_rows(
+        {
+            "pairs": (_once(spark, sf, "qa_candidates", "qa_candidate_id"), {"count": (None, None), "confidence": ("confidence", None), "high": (None, "confidence >= 0.75"), "low": (None, "confidence < 0.45"), "without_answer": (None, "answer_text is null or trim(answer_text) = ''"), "flagged": (None, "size(review_flags) > 0")}),
+            "utterances": (said, {"count": (None, None), "unassigned": (None, "speaker_id is null"), "uncertain": (None, "speaker_is_uncertain"), "blank": (None, "text is null or trim(text) = ''")}),
+            "chunks": (chunks, {"count": (None, None), "transcription_confidence": ("transcription_confidence", None), "language_confidence": ("language_confidence", None), "without_language": (None, "detected_language is null")}),
+            "stages": (_once(spark, sf, "stage_timings", "timing_id"), {"count": (None, None), "seconds": ("duration_seconds", None), "reused": (None, "used_cache or used_existing_artifact"), "failed": (None, "status = 'failed'")}),
+        }
+    )
+
+
 def utterance_rows(spark, sf):
     said = _once(spark, sf, "utterances", "utterance_id").filter("start_seconds is not null")
     links = said.filter("transcript_chunk_id is not null").select("utterance_id", F.col("transcript_chunk_id").alias("segment"))
@@ -50,7 +73,7 @@ def session_sources(spark, sf):
     return scans.session_sources(_once(spark, sf, "audio_sources", "audio_source_id"), "session_id", "original_path")
 
 
-_QUERIES = (sentence_metrics, utterance_rows, review_queue, comment_carry_over, session_documents, session_sources)
+_QUERIES = (sentence_metrics, sentence_question_rows, report_summary, utterance_rows, review_queue, comment_carry_over, session_documents, session_sources)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 
@@ -79,4 +102,18 @@ SQL = {
     "session_sources": r"""WITH s AS (SELECT session_id, original_path, lower(regexp_extract(original_path, '\.([^./]+)$', 1)) AS ext, lower(regexp_replace(original_path, '^.*/', '')) AS name FROM audio_sources)
         SELECT session_id, original_path, printf('source_%03d', row_number() OVER (PARTITION BY session_id ORDER BY name, original_path)) AS source_id,
             CASE WHEN ext IN ('wav', 'mp3', 'm4a', 'aac', 'flac') THEN 'audio' WHEN ext IN ('mp4', 'mov', 'mkv', 'avi') THEN 'video' ELSE 'unsupported' END AS media_type FROM s WHERE original_path IS NOT NULL""",
+    "sentence_question_rows": """WITH u AS (SELECT DISTINCT audio_source_id AS source, unit_id, start_seconds AS u_start, end_seconds AS u_end FROM segmentation_units WHERE unit_kind = 'sentence' AND trim(text) <> ''),
+        q AS (SELECT DISTINCT audio_source_id AS source, qa_candidate_id AS qa_id, question_timing.start_seconds AS t, confidence FROM qa_candidates),
+        m AS (SELECT u.unit_id, count(*) AS n, array_to_string((list(qa_id ORDER BY t, qa_id))[1:2], ',') AS ids, max(confidence) AS best FROM u JOIN q ON u.source = q.source AND q.t >= u.u_start AND q.t < u.u_end GROUP BY 1)
+        SELECT source, unit_id, coalesce(n, 0) AS qa_count, coalesce(ids, '') AS qa_ids, best AS best_confidence FROM u LEFT JOIN m USING (unit_id)""",
+    "report_summary": """WITH p AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM qa_candidates), u AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM utterances), c AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM transcript_chunks), t AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM stage_timings),
+        f AS (SELECT 'pairs' AS section, 'high' AS metric, count(*) FILTER (confidence >= 0.75) AS v, count(*) AS n FROM p UNION ALL SELECT 'pairs', 'low', count(*) FILTER (confidence < 0.45), count(*) FROM p
+            UNION ALL SELECT 'pairs', 'without_answer', count(*) FILTER (answer_text IS NULL OR trim(answer_text, ' ') = ''), count(*) FROM p UNION ALL SELECT 'pairs', 'flagged', count(*) FILTER (len(review_flags) > 0), count(*) FROM p
+            UNION ALL SELECT 'utterances', 'unassigned', count(*) FILTER (speaker_id IS NULL), count(*) FROM u UNION ALL SELECT 'utterances', 'uncertain', count(*) FILTER (speaker_is_uncertain), count(*) FROM u
+            UNION ALL SELECT 'utterances', 'blank', count(*) FILTER (text IS NULL OR trim(text, ' ') = ''), count(*) FROM u UNION ALL SELECT 'chunks', 'without_language', count(*) FILTER (detected_language IS NULL), count(*) FROM c
+            UNION ALL SELECT 'stages', 'reused', count(*) FILTER (used_cache OR used_existing_artifact), count(*) FROM t UNION ALL SELECT 'stages', 'failed', count(*) FILTER (status = 'failed'), count(*) FROM t)
+        SELECT section, metric, v::DOUBLE AS value, CASE WHEN n > 0 THEN v / n END AS value2 FROM f UNION ALL SELECT 'pairs', 'count', count(*)::DOUBLE, NULL FROM p UNION ALL SELECT 'utterances', 'count', count(*)::DOUBLE, NULL FROM u
+        UNION ALL SELECT 'chunks', 'count', count(*)::DOUBLE, NULL FROM c UNION ALL SELECT 'stages', 'count', count(*)::DOUBLE, NULL FROM t UNION ALL SELECT 'pairs', 'confidence', avg(confidence), median(confidence) FROM p
+        UNION ALL SELECT 'chunks', 'transcription_confidence', avg(transcription_confidence), median(transcription_confidence) FROM c UNION ALL SELECT 'chunks', 'language_confidence', avg(language_confidence), median(language_confidence) FROM c
+        UNION ALL SELECT 'stages', 'seconds', avg(duration_seconds), median(duration_seconds) FROM t""",
 }

@@ -54,6 +54,31 @@ def packet_lines(title: str, facts: Mapping[str, object], timing: DataFrame, can
     return "\n".join(head) + "\n"
 
 
+def comparison_markdown(title: str, runs: DataFrame, rankings: DataFrame, limit: int = 500) -> str:
+    """Markdown comparison of runs: one table of the runs, one list a ranking. More than `limit` rows are an error.
+
+    `runs` has (run_id, ...), `rankings` (ranking, place, run_id, value).
+    """
+    columns = runs.columns
+    rows = runs.orderBy("run_id").limit(limit + 1).collect()
+    placed = rankings.orderBy("ranking", "place").limit(limit + 1).collect()
+    if max(len(rows), len(placed)) > limit:
+        raise ValueError("a comparison holds the runs of one evaluation; split it")
+    show = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    out = [f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + "-|" * len(columns), *["| " + " | ".join(show(r[c]) for c in columns) + " |" for r in rows]]
+    for name in sorted({r["ranking"] for r in placed}):
+        out += ["", f"## {name}", "", *[f"{r['place']}. {r['run_id']} ({show(r['value'])})" for r in placed if r["ranking"] == name]]
+    return "\n".join(out) + "\n"
+
+
+def write_comparison(title: str, runs: DataFrame, rankings: DataFrame, path: str) -> None:
+    """comparison/runs and comparison/rankings as JSON lines, and comparison/markdown as one text; never overwrites."""
+    text = comparison_markdown(title, runs, rankings)
+    runs.write.mode("errorifexists").json(f"{path}/runs")
+    rankings.write.mode("errorifexists").json(f"{path}/rankings")
+    runs.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/markdown")
+
+
 def run_folder(spark: SparkSession, root: str, label: str) -> str:
     """A folder for a run's outputs under `root` that does not exist yet: the label, or with `_2`, `_3`, ... behind it."""
     jvm = spark.sparkContext._jvm
