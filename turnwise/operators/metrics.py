@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from turnwise.operators.joins import keyed_join
 from turnwise.operators.ordering import exact_percentiles, windowed
+from turnwise.session import staged
 
 POINTS = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9}
-#: Upper bounds of the word and duration buckets.
-WORD_BUCKETS = (3, 8, 15, 23)
-SECOND_BUCKETS = (2.0, 5.0, 12.0)
+# Buckets of words and of seconds, from (inclusive) and to (exclusive); they overlap on purpose.
+WORD_BUCKETS = {"le_2": (None, 3), "le_3": (None, 4), "4_6": (4, 7), "7_12": (7, 13), "13_24": (13, 25), "ge_25": (25, None), "ge_35": (35, None), "ge_50": (50, None)}
+SECOND_BUCKETS = {"lt_1s": (None, 1), "1_2s": (1, 2), "2_5s": (2, 5), "5_10s": (5, 10), "ge_10s": (10, None), "ge_15s": (15, None), "ge_20s": (20, None)}
 PRIORITIES = ("high", "medium", "low")
 
 
@@ -24,11 +25,8 @@ def unpivoted(df: DataFrame, keys: Sequence[str], section: str) -> DataFrame:
     return df.select(*keys, F.lit(section).alias("section"), F.explode(entries).alias("_x")).select(*keys, "section", "_x.metric", "_x.value")
 
 
-def _bucket(value: Column, bounds: Sequence[float], prefix: str) -> Column:
-    out = F.when(value.isNull(), F.lit(None).cast("string"))
-    for i, b in enumerate(bounds):
-        out = out.when(value <= b, f"{prefix}_{i}")
-    return out.otherwise(f"{prefix}_{len(bounds)}")
+def _inside(value: Column, low: float | None, high: float | None) -> Column:
+    return (value >= low if low is not None else F.lit(True)) & (value < high if high is not None else F.lit(True))
 
 
 def measured(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -39,14 +37,14 @@ def measured(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def sentence_metrics(df: DataFrame, keys: Sequence[str], words: str, seconds: str, label: str) -> DataFrame:
     """(keys, section, metric, value): volume, word and duration statistics, buckets and label counts of sentences."""
-    rows = df.withColumn("_wb", _bucket(F.col(words), WORD_BUCKETS, "words")).withColumn("_sb", _bucket(F.col(seconds), SECOND_BUCKETS, "seconds"))
+    rows = staged(df.select(*keys, words, seconds, label))  # read by every section; what rates the sentences runs once
+    counted = lambda value, buckets: [F.count(F.when(_inside(F.col(value), *edges) & F.col(value).isNotNull(), 1)).alias(name) for name, edges in buckets.items()]
     parts = [
         unpivoted(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("sentences")), keys, "volume"), unpivoted(measured(rows.withColumn(words, F.col(words).cast("double")), keys, words), keys, "words"),
-        unpivoted(measured(rows, keys, seconds), keys, "seconds"),
+        unpivoted(measured(rows, keys, seconds), keys, "seconds"), unpivoted(rows.groupBy(*keys).agg(*counted(words, WORD_BUCKETS)), keys, "word_buckets"), unpivoted(rows.groupBy(*keys).agg(*counted(seconds, SECOND_BUCKETS)), keys, "second_buckets"),
     ]
-    for section, col in (("word_buckets", "_wb"), ("second_buckets", "_sb"), ("labels", label)):
-        counts = rows.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-        parts.append(counts.select(*keys, F.lit(section).alias("section"), "metric", "value"))
+    labels = rows.filter(F.col(label).isNotNull()).groupBy(*keys, F.col(label).alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    parts.append(labels.select(*keys, F.lit("labels").alias("section"), "metric", "value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -77,6 +77,11 @@ _QUERIES = (sentence_metrics, sentence_question_rows, report_summary, utterance_
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 
+def _counts(value: str, section: str, buckets: dict) -> str:
+    edge = lambda lo, hi: " AND ".join([f"{value} >= {lo}"] * (lo is not None) + [f"{value} < {hi}"] * (hi is not None))
+    return " ".join(f"UNION ALL SELECT session_id, '{section}', '{name}', count(*) FILTER ({edge(*b)}) FROM q GROUP BY 1" for name, b in buckets.items())
+
+
 def _wide(section: str, value: str) -> str:
     cols = f"sum({value})::DOUBLE AS total, avg({value}) AS average, min({value})::DOUBLE AS low, max({value})::DOUBLE AS high, quantile_cont({value}::DOUBLE, 0.5) AS median, quantile_cont({value}::DOUBLE, 0.25) AS p25, quantile_cont({value}::DOUBLE, 0.75) AS p75, quantile_cont({value}::DOUBLE, 0.9) AS p90"
     names = ("total", "average", "low", "high", "median", "p25", "p75", "p90")
@@ -84,12 +89,10 @@ def _wide(section: str, value: str) -> str:
 
 
 SQL = {
-    "sentence_metrics": f"""WITH r AS (SELECT DISTINCT session_id, unit_id, text, end_seconds - start_seconds AS seconds FROM segmentation_units WHERE unit_kind = 'sentence' AND trim(text) <> ''), q AS ({_quality('r')}),
-        wb AS (SELECT session_id, CASE WHEN words <= 3 THEN 'words_0' WHEN words <= 8 THEN 'words_1' WHEN words <= 15 THEN 'words_2' WHEN words <= 23 THEN 'words_3' ELSE 'words_4' END AS metric FROM q),
-        sb AS (SELECT session_id, CASE WHEN seconds <= 2 THEN 'seconds_0' WHEN seconds <= 5 THEN 'seconds_1' WHEN seconds <= 12 THEN 'seconds_2' ELSE 'seconds_3' END AS metric FROM q WHERE seconds IS NOT NULL)
+    "sentence_metrics": f"""WITH r AS (SELECT DISTINCT session_id, unit_id, text, end_seconds - start_seconds AS seconds FROM segmentation_units WHERE unit_kind = 'sentence' AND trim(text) <> ''), q AS ({_quality('r')})
         SELECT session_id, 'volume' AS section, 'sentences' AS metric, count(*)::DOUBLE AS value FROM q GROUP BY 1
         UNION ALL {_wide('words', 'words')} UNION ALL {_wide('seconds', 'seconds')}
-        UNION ALL SELECT session_id, 'word_buckets', metric, count(*) FROM wb GROUP BY 1, 3 UNION ALL SELECT session_id, 'second_buckets', metric, count(*) FROM sb GROUP BY 1, 3
+        {_counts('words', 'word_buckets', me.WORD_BUCKETS)} {_counts('seconds', 'second_buckets', me.SECOND_BUCKETS)}
         UNION ALL SELECT session_id, 'labels', quality, count(*) FROM q GROUP BY 1, 3""",
     "utterance_rows": f"""WITH {_U}, l AS (SELECT *, last_value(speaker_id IGNORE NULLS) OVER (PARTITION BY audio_source_id ORDER BY start_seconds, utterance_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM u WHERE start_seconds IS NOT NULL)
         SELECT utterance_id, coalesce(speaker_id <> prev, false) AS speaker_changed, coalesce(transcript_chunk_id, 'UNASSIGNED_SEGMENT') AS segments, false AS segment_conflict FROM l""",
